@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, sharding, simhash
+from . import bpe, media, packing, quality, secrets, sharding, simhash, suffix, urls, warc
 
 
 def vocabulary() -> str:
@@ -36,14 +36,30 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_packing, op4_sharding, op8_bpe, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_packing, op4_sharding, op5_media, op6_suffix, op7_urls, op8_bpe, op9_warc, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -85,18 +85,20 @@ class RowStore:
     def run(self, control: DataFrame | None, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema, columns: list[str] | None = None, batch: int = 2000) -> DataFrame:
         """Apply ``fn(rows, control)`` to the batches of every segment.
 
-        ``rows`` has ``columns`` and the row id; ``control`` is a list of numpy arrays rid, a, b for those rows,
-        sorted. Control rows of one segment meet in one task; they are bounded by the segment's size.
+        ``rows`` has ``columns`` and the row id; ``control`` is a list of numpy arrays rid, a, b, c for those rows,
+        sorted (columns of longs; absent ones are 0). Control rows of one segment meet in one task; they are bounded
+        by the segment's size. Every segment is read, with control rows or without.
         """
         order = {seg: i for i, seg in enumerate(sorted(self.files))}
-        heads = self.spark.createDataFrame([(i, None, None, None) for i in range(len(order))] or [(-1, None, None, None)], "ordinal int, rid long, a long, b long")
+        heads = self.spark.createDataFrame([(i, None, 0, 0, 0) for i in range(len(order))] or [(-1, None, 0, 0, 0)], "ordinal int, rid long, a long, b long, c long")
         heads = heads.where("ordinal >= 0")
         if control is not None:
             width = max(order, default=0) + 1
             table = [order.get(seg, -1) for seg in range(width)]
             segment = F.element_at(F.array(*[F.lit(x) for x in table]), F.shiftright("rid", 33).cast("int") + 1) if table != list(range(width)) else F.shiftright("rid", 33).cast("int")
-            heads = heads.unionByName(control.select(segment.alias("ordinal"), "rid", "a", "b"))
-        dealt = heads.repartitionById(max(1, len(order)), F.col("ordinal")).sortWithinPartitions("ordinal", "rid", "a", "b")
+            have = [F.col(c).cast("long").alias(c) if c in control.columns else F.lit(0).cast("long").alias(c) for c in ("a", "b", "c")]
+            heads = heads.unionByName(control.select(segment.alias("ordinal"), "rid", *have))
+        dealt = heads.repartitionById(max(1, len(order)), F.col("ordinal")).sortWithinPartitions("ordinal", "rid", "a", "b", "c")
         path, names, rid = self.path, [self.files[s] for s in sorted(self.files)], self.rid
         take = None if columns is None else [*dict.fromkeys([*columns, rid])]
 
@@ -117,13 +119,11 @@ class RowStore:
             import numpy as np
 
             held: dict[int, list] = {}
-            done: set[int] = set()
             for b in batches:
                 ordinals = b.column(0).to_numpy(zero_copy_only=False)
                 for o in np.unique(ordinals):
                     for older in [x for x in held if x < o]:
                         yield from flush(older, held.pop(older))
-                        done.add(older)
                     held.setdefault(int(o), []).append(b.filter(pa.array(ordinals == o)))
             for o in sorted(held):
                 yield from flush(o, held[o])
@@ -131,6 +131,6 @@ class RowStore:
         def flush(o: int, parts: list) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
             t = t.filter(t.column("rid").is_valid())
-            yield from segment_rows(o, [t.column(c).to_numpy() for c in ("rid", "a", "b")])
+            yield from segment_rows(o, [t.column(c).to_numpy() for c in ("rid", "a", "b", "c")])
 
         return dealt.mapInArrow(task, schema)
