@@ -65,13 +65,12 @@ def paragraphs(x: Column) -> Column:
 
 def protected(x: Column, lang: str) -> Column:
     """Stops that end no sentence replaced by NUL."""
-    for a in TITLES.get(lang, []):
-        x = F.regexp_replace(x, rf"(?i)(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])({re.escape(a)})\.", "$1\x00")
-    for a in ABBREVIATIONS.get(lang, []):
-        safe = a.replace(".", r"\.")
-        x = F.regexp_replace(x, rf"(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])((?i:{safe}))\.(?!\s+[A-ZÄÖÜ])", "$1\x00")
-    x = F.regexp_replace(x, r"(?<=\d)\.(?=\d)", "\x00")
-    return F.regexp_replace(x, r"(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])([A-ZÄÖÜ])\.", "$1\x00")
+    start = r"(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])"
+    either = lambda terms: "|".join(sorted((a.replace(".", r"\.") for a in terms), key=len, reverse=True))
+    if lang in TITLES:
+        x = F.regexp_replace(x, rf"{start}((?i:{either(TITLES[lang])}))\.", "$1\x00")
+        x = F.regexp_replace(x, rf"{start}((?i:{either(ABBREVIATIONS[lang])}))\.(?!\s+[A-ZÄÖÜ])", "$1\x00")
+    return F.regexp_replace(x, rf"(?<=\d)\.(?=\d)|(?<={start}[A-ZÄÖÜ])\.", "\x00")
 
 
 def sentences(x: Column, lang: str = "en") -> Column:

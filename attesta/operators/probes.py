@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import normal
+
 PROBE, STRIDE, CONTEXT = 160, 120, 500
 #: Bytes of patterns that one automaton holds; more patterns take more passes over the texts.
 BLOCK_BYTES = 4 << 20
@@ -91,6 +93,17 @@ def context_digests(doc: pd.Series, probes: pd.Series) -> pd.Series:
     return pd.Series([one(d, p) for d, p in zip(doc, probes, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def wanted(probes: pd.Series) -> pd.Series:
+    """Windows of the normalised probes, in order and distinct."""
+
+    def one(p: str) -> list[str]:
+        n = len(p)
+        return [p[i : i + PROBE] for i in sorted({*range(0, n, STRIDE), n - PROBE})] if n > PROBE else [p] if p else []
+
+    return probes.map(lambda ps: list(dict.fromkeys(w for p in (ps if ps is not None else []) for w in one(normal(p)))))
+
+
 def digests(probes: Column) -> Column:
     return F.transform(probes, lambda p: F.sha2(p, 256))
 
