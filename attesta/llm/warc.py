@@ -114,13 +114,12 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         except ValueError as e:
             reason, start, found = str(e), at, None
         for m in START.finditer(data, start + 1):
-            if m[0] == MAGIC or data[m.start() - 1 : m.start()] == b"\n":
-                try:
-                    found = one(data, m.start())
-                except ValueError:
-                    continue
-                at = m.start()
-                break
+            try:
+                found = one(data, m.start())
+            except ValueError:
+                continue
+            at = m.start()
+            break
         yield "gap", start, at if found else len(data), reason
         if not found:
             return
