@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality, secrets, sharding, simhash, suffix, urls, warc
+from . import bpe, media, packing, quality, secrets, sharding, simhash, sql, suffix, urls, warc
 
 
 def vocabulary() -> str:
@@ -62,4 +62,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_packing, op4_sharding, op5_media, op6_suffix, op7_urls, op8_bpe, op9_warc, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -315,3 +315,23 @@ def test_empty_tables(spark):
     v = vocabulary()
     made = [secrets.scan(none), secrets.redact(none), simhash.near_duplicates(none), simhash.drop_near_duplicates(none), packing.pack(none, v), sharding.shard(none), media.media_features(none), suffix.dedup_report(none), suffix.drop_repeats(none), urls.judge(pages), bpe.encode_texts(none, v), warc.round_trip(pages), quality.quality(none), quality.keep_good(none)]
     assert all(d.count() == 0 for d in made)
+
+
+def test_sql(spark):
+    import os
+
+    import duckdb
+
+    from attesta.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    for name, text in ORACLE_SQL.items():
+        got, want = QUERIES[name](spark, sf), con.sql(text)
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        assert keyed(tuple(r[c] for c in columns) for r in got.collect()) == keyed(con.sql(f"SELECT {', '.join(columns)} FROM ({text})").fetchall()), name
