@@ -32,7 +32,7 @@ def measured(reports: DataFrame, text: str = "text") -> DataFrame:
     is_source = lambda s: F.lower(s["title"]).isin(titles)
     d = d.withColumns({
         "words": F.regexp_count("prose", F.lit(r"(?U)\b[\w'-]+\b")), "chars": F.regexp_count("prose", F.lit(f"[A-Za-z0-9{CJK}]")), "detected": tx.report_language(F.col("prose")),
-        "source_at": F.expr("array_position(transform(sections, s -> lower(s.title) IN (" + ", ".join(f"'{x}'" for x in titles) + ")), true)"), "last_source": F.element_at(F.filter("sections", is_source), -1),
+        "source_at": F.expr("array_position(transform(sections, s -> lower(s.title) IN (" + ", ".join(f"'{x}'" for x in titles) + ")), true)"), "last_source": F.try_element_at(F.filter("sections", is_source), F.lit(-1)),
     })
     return d
 
@@ -54,7 +54,7 @@ def structure(reports: DataFrame, text: str = "text", language: str | None = "la
     tail = d.where("last_source IS NOT NULL").withColumn("tail", F.expr("substring(body, last_source.start + 1)"))
     out += [
         finding(d.where(F.size("sections") < min_sections), "P-sections", F.size("sections")), finding(d.where("last_source IS NULL"), "P-no-sources"),
-        finding(d.where("last_source IS NOT NULL AND last_source.start <> element_at(sections, -1).start"), "P-sources-last"),
+        finding(d.where("last_source IS NOT NULL AND last_source.start <> try_element_at(sections, -1).start"), "P-sources-last"),
         finding(tail.withColumn("links", md.link_list("tail")).where(F.size("links") < min_sources), "P-few-links"), finding(tail.withColumn("bare", md.raw_url_list("tail")).where(F.size("bare") > 0), "P-raw-urls"),
     ]
     return union(out)
