@@ -25,6 +25,8 @@ from .store import RowStore, materialise
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 RADIUS = 2
+#: Fingerprints that more than one in so many rows have; so there are fewer of them, and they may be broadcast.
+HOT_SHARE = 1_000
 #: Buckets up to this size are compared in pairs, larger ones through the words between their members.
 PAIRS = 256
 #: Buckets up to this size are held by one task (8 bytes a fingerprint and 520 while it works); beyond it, their members
@@ -176,11 +178,14 @@ def fingerprints(df: DataFrame, columns: list, text) -> DataFrame:
 
 def grouped(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` (with fp) and ``component``: the least ``order`` among the rows that they are linked with, directly or not."""
-    prints = materialise(rows.groupBy("fp").agg(F.min(order).alias("least")), "prints")
+    prints = materialise(rows.groupBy("fp").agg(F.min(order).alias("least"), F.count("*").alias("n")), "prints")
     roots = materialise(components(links(prints)), "roots")
     least = prints.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("component")).join(roots, "root").select(F.col("node").alias("fp"), "component")
-    every = prints.join(least, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(every, "fp")
+    every = materialise(prints.join(least, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n"), "components")
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(every.where(F.col("n") * HOT_SHARE > total).select("fp", "component"))  # under HOT_SHARE rows
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(every.select("fp", "component"), "fp")
+    return rows.join(hot, "fp").unionByName(cold)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
