@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..functions import urls as ux
-from ..operators import graph, probes, vectors
+from ..functions import quantities as qx
+from ..operators import graph, ledger_rules, probes, style, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -578,6 +579,75 @@ def set_difference(spark, sf):
     return pick("R").subtract(pick("A"))
 
 
+LINKS = "SELECT l_linenumber AS ledger_id, CAST(l_orderkey AS VARCHAR) AS claim_id, CAST(l_suppkey AS VARCHAR) AS source_id, l_returnflag, l_linestatus FROM lineitem"
+
+
+@register(f"""WITH l AS (SELECT DISTINCT ledger_id, claim_id, source_id FROM ({LINKS})), p AS (SELECT * FROM ({LINKS}) WHERE l_linestatus = 'F' AND l_returnflag <> 'N'),
+x AS (SELECT ledger_id, 'L17' AS rule_id, claim_id FROM ({LINKS}) k WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE CAST(s.s_suppkey AS VARCHAR) = k.source_id AND s.s_acctbal > 0)
+UNION ALL SELECT ledger_id, 'L18', claim_id FROM p GROUP BY ledger_id, claim_id, source_id HAVING count(*) > 1
+UNION ALL SELECT ledger_id, 'L19', claim_id FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.ledger_id = p.ledger_id AND l.claim_id = p.claim_id AND l.source_id = p.source_id)
+UNION ALL SELECT ledger_id, 'L20', claim_id FROM ({LINKS}) k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ledger_id = k.ledger_id AND p.claim_id = k.claim_id AND p.source_id = k.source_id))
+SELECT ledger_id, rule_id, count(*) AS findings, count(DISTINCT claim_id) AS claims FROM x GROUP BY ledger_id, rule_id""")
+def ledger_claim_links(spark, sf):
+    """The ledger rules on links, run as they are on the proxy: line numbers are ledgers, orders claims, suppliers with money sources."""
+    lines = table(spark, sf, "lineitem")
+    links = lines.select(F.col("l_linenumber").alias("ledger_id"), F.col("l_orderkey").cast("string").alias("claim_id"), F.col("l_suppkey").cast("string").alias("source_id"), "l_returnflag", "l_linestatus")
+    active = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("source_id"))
+    sources = active.select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("ledger_id"), "source_id")
+    people = links.where("false").select("ledger_id", "claim_id", F.lit("").alias("person_id"))
+    t = {"claim_sources": links, "sources": sources, "claim_evidence": links.where("l_linestatus = 'F' AND l_returnflag <> 'N'"), "claim_people": people, "people": people}
+    frames = [d.select("ledger_id", F.lit(r).alias("rule_id"), "entity_id") for r, d in ledger_rules.claim_links(t).items() if r != "L21"]
+    every = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+    return every.groupBy("ledger_id", "rule_id").agg(F.count("*").alias("findings"), F.count_distinct("entity_id").alias("claims"))
+
+
+NEXT = "SELECT o_custkey AS ledger_id, o_orderkey AS claim_id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS related_id, o_orderstatus AS status, lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS other FROM orders"
+
+
+@register(f"""WITH n AS (SELECT * FROM ({NEXT}) WHERE related_id IS NOT NULL), e AS (SELECT ledger_id, claim_id, related_id FROM n UNION ALL SELECT ledger_id, related_id, claim_id FROM n WHERE status = other)
+SELECT e.claim_id, e.related_id FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.ledger_id = e.ledger_id AND b.claim_id = e.related_id AND b.related_id = e.claim_id)""")
+def unanswered_contradictions(spark, sf):
+    """Ledger rule L44 on the proxy: an order contradicts the customer's next one, which answers where their states agree."""
+    orders = table(spark, sf, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    n = orders.select(F.col("o_custkey").alias("ledger_id"), F.col("o_orderkey").alias("claim_id"), F.lead("o_orderkey").over(w).alias("related_id"), F.col("o_orderstatus").alias("status"), F.lead("o_orderstatus").over(w).alias("other")).where("related_id IS NOT NULL")
+    e = n.select("ledger_id", "claim_id", "related_id").unionByName(n.where("status = other").select("ledger_id", F.col("related_id").alias("claim_id"), F.col("claim_id").alias("related_id"))).withColumn("relation", F.lit("contradicts"))
+    claims = orders.select(F.col("o_custkey").alias("ledger_id"), F.col("o_orderkey").alias("claim_id"))
+    raw = claims.select("ledger_id", "claim_id", F.lit("").alias("status"), F.lit("").alias("resolution"), F.array().cast("array<string>").alias("contradicts"))
+    found = ledger_rules.relations({"claim_edges": e, "claims_raw": raw, "known_claims": claims})["L44"]
+    return found.select(F.col("entity_id").cast("long").alias("claim_id"), F.col("detail").cast("long").alias("related_id"))
+
+
+@register(r"SELECT page_id, string_split(url, ':')[1] AS title, substring(url, length(string_split(url, ':')[1]) + 2) AS subtitle FROM pages")
+def title_parts(spark, sf):
+    """Title and subtitle at the first colon, here of addresses."""
+    return table(spark, sf, "pages").select("page_id", tx.title_parts(F.col("url")).alias("t")).select("page_id", "t.title", "t.subtitle")
+
+
+@register("SELECT p_partkey, len(regexp_extract_all(p_name || ' ' || p_type, '[^ ]')) AS width FROM part")
+def visual_widths(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", tx.visual_width(F.concat_ws(" ", "p_name", "p_type")).cast("long").alias("width"))
+
+
+@register("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%d %B %Y') AS en, CAST(year(o_orderdate) AS VARCHAR) || '年' || CAST(month(o_orderdate) AS VARCHAR) || '月' || CAST(day(o_orderdate) AS VARCHAR) || '日' AS zh FROM orders")
+def localised_dates(spark, sf):
+    day = F.to_date("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", tx.localised_date(F.lit("en"), day).alias("en"), tx.localised_date(F.lit("zh-CN"), day).alias("zh"))
+
+
+@register()
+def style_findings(spark, sf):
+    """All style rules on the English documents, in one pass."""
+    return style.check(table(spark, sf, "documents").where("lang = 'en'"), "en", markdown=False)
+
+
+@register()
+def asserted_quantities(spark, sf):
+    """Figures that the documents assert, in comparable forms."""
+    tokens = table(spark, sf, "documents").select("doc_id", qx.quantities("text").alias("q")).select("doc_id", qx.obligations(F.col("q")).alias("q"))
+    return tokens.select("doc_id", F.explode("q").alias("q")).select("doc_id", "q.shown", F.array_join("q.forms", " ").alias("forms"))
+
+
 FINDINGS = """SELECT 'duplicate_keys' AS rule_id, 'error' AS severity, count(*) AS findings FROM (SELECT 1 FROM events GROUP BY user_id, event_type HAVING count(*) > 1)
 UNION ALL SELECT 'claims_without_sources', 'error', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'N')
 UNION ALL SELECT 'dangling_source_refs', 'warning', count(*) FROM (SELECT l_suppkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey AND s.s_acctbal > 0) GROUP BY l_suppkey)"""
