@@ -10,7 +10,7 @@ from .vectors import cosine
 # fixed values: marks of font names
 SIMPLIFIED = ["sc", "gb", "hans", "simplified", "yahei", "simsun"]
 TRADITIONAL = ["tc", "hk", "tw", "mo", "hant", "big5", "traditional", "jhenghei", "mingliu"]
-CJK_FONTS = "pingfang|songti|heiti|hiragino|yahei|jhenghei|mingliu|notosanscjk|notoserifcjk|sourcehan|droidsansfallback|alexandriacjk|stsong|stheiti|simsun|kaiti|fangsong|arialunicode"
+CJK_FONTS = "pingfang|songti|heiti|hiragino|yahei|jhenghei|mingliu|notosanscjk|notoserifcjk|sourcehan|droidsansfallback|stsong|stheiti|simsun|kaiti|fangsong|arialunicode"
 LEAST_INK, LEAST_FILL, LEAST_GAP_MM = 0.006, 0.32, 6.0
 LEAST_DETAIL, LEAST_SIMILARITY = 0.75, 0.85
 
