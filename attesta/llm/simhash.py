@@ -10,6 +10,7 @@ Buckets are joined on keys and verified.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import overlap
 from .components import components
 from .store import RowStore, materialise
 
@@ -199,17 +201,80 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return grouped(rows, "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of ``width``-word shingles, a shorter text being one; words are those of ``fingerprint``."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    digest, some = xxhash.xxh64_intdigest, min(width, len(words))
+    each = np.fromiter((digest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
+    h = np.full(len(words) - some + 1, some, dtype=np.uint64)
+    for i in range(some):
+        h = (h ^ each[i : len(words) - some + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h.view(np.int64))
+
+
+def word_digests(df: DataFrame, columns: list, text) -> DataFrame:
+    """``columns`` of ``df`` with a 128-bit digest (d, e) of the words in order."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b"".join(hashlib.blake2b(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest() for t in b.column(b.num_columns - 1).to_pylist())
+            d = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=[*b.schema.names[:-1], "d", "e"])
+
+    out = df.select(*columns, text.alias("text"))
+    schema = ", ".join(f"{c} {t}" for c, t in out.dtypes[:-1]) + ", d long, e long"
+    return out.mapInArrow(task, schema)
+
+
+def drop_similar(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``df`` with one row of each group of texts linked, directly or not, by Jaccard ``least`` or more of their
+    ``width``-word shingles: that of the least key, the first of several with it (null keys last).
+
+    No pair is missed (``operators.overlap``); each is counted on whole shingle sets. Texts without words, null ones too, are one group.
+    """
+    store = RowStore.write(df, "similar")
+    rows = materialise(word_digests(store.df, [F.col(store.rid).alias("rid"), store.df[key].cast("long").alias("doc_id")], store.df[text]), "words")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    classes = materialise(rows.groupBy("d", "e").agg(F.min(place).alias("place"), F.count("*").alias("n")), "classes")
+    name = store.rid
+
+    def sets(rows: pa.RecordBatch, control: list) -> pa.RecordBatch:
+        mine = rows.filter(pa.array(np.isin(rows.column(rows.schema.get_field_index(name)).to_numpy(), control[0])))
+        made = [shingles(t, width) for t in mine.column(mine.schema.get_field_index(text)).to_pylist()]
+        ids = mine.column(mine.schema.get_field_index(name))
+        return pa.RecordBatch.from_arrays([ids, pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return store.run(ids.select(F.col("id").alias("rid")), sets, "id long, s array<long>", [text])
+
+    roots = materialise(components(overlap.links(classes.select(F.col("place.rid").alias("id")), fetch, least, materialise, components)), "roots")
+    firsts = classes.join(roots, F.col("place.rid") == F.col("node"), "left").select("d", "e", "place", "n", F.coalesce("root", "place.rid").alias("root"))
+    kept = firsts.groupBy("root").agg(F.min("place").alias("kept"))
+    several = materialise(firsts.join(kept, "root").where("n > 1 OR place.rid <> kept.rid").select("d", "e", F.col("kept.rid").alias("kept")), "several")
+    dropped = rows.join(several, ["d", "e"]).where("rid <> kept").select("rid", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    return without(store, dropped, df)
+
+
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with one row of each component: that of the least key, the first of several with it (null keys last)."""
     store = RowStore.write(df, "simhash")
-    at = store.df.columns.index(store.rid)
     rows = materialise(fingerprints(store.df, [F.col(store.rid).alias("rid"), store.df[key].cast("long").alias("doc_id")], store.df[text]), "fingerprints")
     ranked = rows.select("rid", "fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("place"))
     dropped = grouped(ranked, "place").where("rid <> component.rid").select("rid", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    return without(store, dropped, df)
+
+
+def without(store: RowStore, dropped: DataFrame, df: DataFrame) -> DataFrame:
+    """The stored ``df`` without the rows that ``dropped`` names."""
+    name, at = store.rid, store.df.columns.index(store.rid)
 
     def keep(rows: pa.RecordBatch, control: list) -> pa.RecordBatch:
         good = rows.filter(pa.array(~np.isin(rows.column(rows.schema.get_field_index(name)).to_numpy(), control[0])))
         return pa.RecordBatch.from_arrays([c for i, c in enumerate(good.columns) if i != at], names=[n for i, n in enumerate(good.schema.names) if i != at])
 
-    name = store.rid
     return store.run(dropped, keep, df.schema)

@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group linked by five-word Jaccard 0.8 or more: that with the least doc_id."""
+    return simhash.drop_similar(docs)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
