@@ -15,7 +15,7 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..functions import urls as ux
 from ..functions import quantities as qx
-from ..operators import graph, ledger_rules, probes, style, vectors
+from ..operators import graph, ledger_rules, overlap, probes, style, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -394,6 +394,22 @@ def sibling_jaccard(spark, sf):
     return d.select("doc_id", "next_id", F.round(both.cast("double") / (F.size("s") + F.size("next_s") - both), 6).alias("jaccard"))
 
 
+@register(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), s AS (SELECT doc_id, list_sort({SHINGLES}) AS s FROM w WHERE len(w) >= 5), c AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS first FROM s),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM c WHERE doc_id = first), p AS (SELECT a.doc_id, b.doc_id AS other_id, CAST(count(*) AS DOUBLE) / (a.n + b.n - count(*)) AS jaccard FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+SELECT doc_id, other_id, round(jaccard, 6) AS jaccard, 'pair' AS relation FROM p WHERE jaccard >= 0.35 UNION ALL SELECT first, doc_id, 1.0, 'member' FROM c WHERE doc_id <> first""")
+def near_duplicate_docs(spark, sf):
+    """All pairs of documents with five-word Jaccard 0.35 or more: pairs of the first documents of each shingle set, and the other members of its set."""
+    w = tx.words(F.lower("text"))
+    d = table(spark, sf, "documents").select("doc_id", w.alias("w")).where("size(w) >= 5")
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
+    d = graph._settled(d.select("doc_id", shingles.alias("s")).withColumn("same", F.sha2(F.array_join(F.array_sort("s"), " "), 256)))
+    first = graph._settled(d.groupBy("same").agg(F.min("doc_id").alias("first")))
+    sets = d.select(F.col("doc_id").alias("id"), "s")
+    pairs = overlap.similar(first.select(F.col("first").alias("id")), lambda ids: sets.join(ids, "id", "left_semi"), 0.35, lambda df, name: graph._settled(df))
+    members = d.join(first, "same").where("doc_id <> first").select(F.col("first").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("jaccard"), F.lit("member").alias("relation"))
+    return pairs.select(F.col("u").alias("doc_id"), F.col("v").alias("other_id"), F.round("jaccard", 6).alias("jaccard"), F.lit("pair").alias("relation")).unionByName(members)
+
+
 @register(f"""SELECT blocks, sentences, count(*) AS docs FROM (SELECT len({BLOCKS}) AS blocks, len({SENTENCES}) AS sentences FROM documents) WHERE blocks >= 3 GROUP BY blocks, sentences HAVING count(*) >= 2""")
 def same_shape(spark, sf):
     """Shapes (blocks, sentences) that several documents share."""
