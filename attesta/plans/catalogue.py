@@ -428,6 +428,26 @@ def same_skeleton(spark, sf):
     return d.select("doc_id", "next_id", F.round(equal.cast("double") / F.size("k"), 6).alias("agreement"))
 
 
+@register(f"""WITH k AS (SELECT doc_id, list_transform({BLOCKS}, lambda p: length(p) > 200) AS k FROM documents), c AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY k) AS first FROM k WHERE len(k) >= 3), f AS (SELECT doc_id, k FROM c WHERE doc_id = first),
+p AS (SELECT a.doc_id, b.doc_id AS other_id, len(list_filter(range(1, len(a.k) + 1), lambda i: a.k[i] = b.k[i])) AS same, len(a.k) AS n FROM f a JOIN f b ON len(a.k) = len(b.k) AND a.doc_id < b.doc_id)
+SELECT doc_id, other_id, round(CAST(same AS DOUBLE) / n, 6) AS agreement, 'pair' AS relation FROM p WHERE same * 5 >= n * 4 UNION ALL SELECT first, doc_id, 1.0, 'member' FROM c WHERE doc_id <> first""")
+def skeleton_pairs(spark, sf):
+    """All pairs of documents with as many blocks, three or more, whose kinds agree in 0.8 of the places: pairs of the first documents of each skeleton, and the other members of its skeleton."""
+    kinds = F.array_join(F.transform(newline_blocks(F.col("text")), lambda p: F.when(F.char_length(p) > 200, "1").otherwise("0")), "")
+    d = table(spark, sf, "documents").select("doc_id", kinds.alias("k")).where("length(k) >= 3")
+    first = graph._settled(d.groupBy("k").agg(F.min("doc_id").alias("first")))
+    # n blocks may differ in n // 5, so of one segment more than that, one agrees wholly
+    n, cuts = F.length("k"), F.floor(F.length("k") / 5) + 1
+    start = lambda i: F.floor(i * n / cuts).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), (cuts - 1).cast("int")), lambda i: F.struct(i.alias("i"), F.substring("k", start(i) + 1, start(i + 1) - start(i)).alias("part")))
+    one = first.select("first", "k", n.alias("n"), F.explode(parts).alias("p")).select("first", "k", "n", "p.i", "p.part")
+    both = one.alias("a").join(one.alias("b"), ["n", "i", "part"]).where("a.first < b.first")
+    same = F.size(F.filter(F.zip_with(F.split("a.k", ""), F.split("b.k", ""), lambda x, y: x == y), lambda e: e))
+    pairs = both.select(F.col("a.first").alias("doc_id"), F.col("b.first").alias("other_id"), "n", same.alias("same")).where("same * 5 >= n * 4").distinct()
+    members = d.join(first, "k").where("doc_id <> first").select(F.col("first").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("agreement"), F.lit("member").alias("relation"))
+    return pairs.select("doc_id", "other_id", F.round(F.col("same").cast("double") / F.col("n"), 6).alias("agreement"), F.lit("pair").alias("relation")).unionByName(members)
+
+
 NUMBER = r"\d+(?:[.,]\d+)*%?"
 
 
