@@ -11,6 +11,8 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 
 WIDE = ("zh", "hk", "tw")
+#: What ``check`` has rules for.
+LANGUAGES = ("en", "de", *WIDE)
 
 # fixed values: what a text of a kind must carry
 GENRES = {

@@ -7,6 +7,7 @@ items, and an order supports the customer's next one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -673,8 +674,12 @@ def localised_dates(spark, sf):
 
 @register()
 def style_findings(spark, sf):
-    """All style rules on the English documents, in one pass."""
-    return style.check(table(spark, sf, "documents").where("lang = 'en'"), "en", markdown=False)
+    """All style rules on the documents of each language that has some; one row M-no-rules for each document of another language or of none."""
+    docs = table(spark, sf, "documents")
+    found = [style.check(docs.where(F.col("lang") == lang), lang, markdown=False) for lang in style.LANGUAGES]
+    rest = docs.where(F.col("lang").isNull() | ~F.col("lang").isin(*style.LANGUAGES))
+    found.append(rest.select("doc_id", F.lit("M-no-rules").alias("rule_id"), F.lit("info").alias("severity"), F.coalesce("lang", F.lit("")).alias("detail")))
+    return reduce(DataFrame.unionByName, found)
 
 
 @register()
