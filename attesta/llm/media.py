@@ -13,6 +13,7 @@ import tarfile
 import time
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -152,10 +153,17 @@ class ArchiveReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["key", "n_bytes", "archive", "offset", "media", "error"])
 
-        with fs.open_input_file(archive) as f:
+        try:
+            whole = fs.open_input_file(archive)
+        except OSError:
+            whole = None
+        with whole or nullcontext():
             for e in mine:
-                data, error = f.read_at(int(e["length"]), int(e["start"])), None
-                if zlib.crc32(data) != e["crc"]:
+                data, error = None, None
+                if whole:
+                    with suppress(OSError):
+                        data = whole.read_at(int(e["length"]), int(e["start"]))
+                if data is None or zlib.crc32(data) != e["crc"]:
                     try:
                         data = self.member(fs, archive, e)
                     except OSError as failed:
