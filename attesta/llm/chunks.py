@@ -1,8 +1,8 @@
-"""Encoding of many texts through their distinct chunks.
+"""Encoding of many texts through their distinct words, in arrays.
 
-A chunk is a run without ASCII white space. The tokenizer drops white space and joins nothing
-across it, so a text's ids are the ids of its chunks in order, and each distinct chunk of a slice of
-texts is encoded once.
+A chunk is a run without ASCII white space. The tokenizer drops white space and joins nothing across it, so
+a text's ids are those of its chunks in order. The distinct chunks of a slice of texts are split into words, and each distinct
+word is encoded once; then ids are laid out by gathering.
 """
 
 from __future__ import annotations
@@ -19,21 +19,28 @@ import regex
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: The vocabulary file's splitting pattern; its ``\s`` is the Unicode property White_Space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: The same, with the ends of lines, which stand between chunks.
+LINED_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|\n|[^\p{White_Space}\p{L}\p{N}]+")
 #: Bytes of text in a slice; bounds the memory of a worker, not the result.
-SLICE_BYTES = 12 << 20
-#: Chunks kept in each of two generations of a worker's cache; only speed depends on it.
+SLICE_BYTES = 6 << 20
+#: Words kept in each of two generations of a worker's cache; only speed depends on it.
 CACHE = 200_000
 
+#: (words as large_binary) -> their ids, flat, and the number of ids of each.
+WordEncoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
 
 def lower(text: str) -> str:
     """Lower case character by character, as the vocabulary's normaliser does (no final sigma)."""
     return text.replace("Σ", "σ").lower()
 
 
+def normal(text: str) -> str:
+    return lower(text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
+
+
 def split_words(chunk: str) -> list[str]:
-    if not unicodedata.is_normalized("NFC", chunk):
-        chunk = unicodedata.normalize("NFC", chunk)
-    return WORDS.findall(lower(chunk))
+    return WORDS.findall(normal(chunk))
 
 
 def byte_letters() -> list[str]:
@@ -51,10 +58,8 @@ def byte_letters() -> list[str]:
 LETTERS = byte_letters()
 
 
-def as_letters(word: str) -> str:
-    if word.isascii():
-        return word if word.isprintable() and " " not in word else "".join(LETTERS[b] for b in word.encode())
-    return "".join([LETTERS[b] for b in word.encode("utf-8", "surrogatepass")])
+def as_letters(word: bytes) -> str:
+    return word.decode() if word.isalpha() else "".join([LETTERS[b] for b in word])
 
 
 class TwoGenerations(dict):
@@ -75,16 +80,15 @@ class TwoGenerations(dict):
         return value
 
 
-def chunk_encoder(word_ids: Callable[[str], list[int]], special: dict[str, int]) -> TwoGenerations:
-    """chunk -> ids as little-endian unsigned 32-bit bytes. ``word_ids`` encodes one pre-split word."""
-    words = TwoGenerations(lambda w: np.array(word_ids(w), dtype="<u4").tobytes())
+def one_by_one(ids_of: Callable[[bytes], list[int]]) -> WordEncoder:
+    """An encoder of words through a cache and a function for a single word."""
+    known = TwoGenerations(lambda w: np.array(ids_of(w), dtype="<u4").tobytes())
 
-    def make(chunk: str) -> bytes:
-        if "<|" in chunk:
-            return b"".join(np.array([special[p]], dtype="<u4").tobytes() if p in special else b"".join([words[w] for w in split_words(p)]) for p in SPECIAL.split(chunk))
-        return b"".join([words[w] for w in split_words(chunk)])
+    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        codes = [known[w] for w in words.to_pylist()]
+        return np.frombuffer(b"".join(codes), dtype="<u4"), np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
 
-    return TwoGenerations(make)
+    return encode
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -100,21 +104,96 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one range after the other."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
+
+
+def from_offsets(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+def ascii_words(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of ASCII chunks, in order, and their number in each chunk. The pattern's alternatives as marks on bytes."""
+    edges = np.frombuffer(chunks.buffers()[1], dtype=np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    raw = np.frombuffer(chunks.buffers()[2], dtype=np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    n = len(raw)
+    low = np.zeros(n + 3, dtype=np.uint8)
+    low[:n] = np.where((raw >= 65) & (raw <= 90), raw | 32, raw)
+    letter = (low >= 97) & (low <= 122)
+    digit = (low >= 48) & (low <= 57)
+    kind = letter + 2 * digit
+    first = np.ones(n + 1, dtype=bool)
+    first[1:n] = (kind[1:n] != kind[: n - 1]) | digit[1:n]
+    opens = np.zeros(n + 4, dtype=bool)  # a chunk begins here, or the bytes end
+    opens[edges] = True
+    first |= opens[: n + 1]
+    at = np.flatnonzero((low[:n] == ord("'")) & first[:n])  # an apostrophe inside a run of other signs belongs to the run
+    one, two = low[at + 1], low[at + 2]
+    single = ((one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))) & ~opens[at + 1]
+    double = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & ~opens[at + 1] & ~opens[at + 2]
+    first[at[single] + 1] = first[at[double] + 1] = False
+    first[at[single] + 2] = first[at[double] + 3] = True
+    starts = np.flatnonzero(first)  # ends with n, which begins nothing
+    return from_offsets(starts, low[:n]), np.diff(np.searchsorted(starts, edges))
+
+
+def other_words(chunks: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words of any chunks, in order, and their number in each chunk."""
+    found = LINED_WORDS.findall(normal("".join([c + "\n" for c in chunks])))
+    words = pa.array(found, pa.large_string())
+    ends = pc.equal(words, "\n").to_numpy(zero_copy_only=False)
+    closed = np.flatnonzero(ends)
+    return words.filter(pa.array(~ends)).cast(pa.large_binary()), np.diff(closed, prepend=-1) - 1
+
+
 class Encoded:
     """The ids of a slice of texts, flat: text i has ids[offsets[i]:offsets[i + 1]]."""
 
-    def __init__(self, texts: pa.Array, encoder: TwoGenerations):
+    def __init__(self, texts: pa.Array, encode: WordEncoder, special: dict[str, int]):
         parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        self.list_offsets = parts.offsets.to_numpy().astype(np.int64)
+        list_offsets = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.flatten().dictionary_encode()
-        self.index = flat.indices.to_numpy(zero_copy_only=False)
-        self.codes = [encoder[c] for c in flat.dictionary.to_pylist()]
-        sizes = np.fromiter((len(c) // 4 for c in self.codes), dtype=np.int64, count=len(self.codes))
-        table = np.frombuffer(b"".join(self.codes), dtype="<u4")
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        n = sizes[self.index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(ends[-1], dtype=np.int64) + np.repeat(starts[:-1][self.index] - ends[:-1], n)
-        self.ids = table[at]
-        first = self.list_offsets[0]
-        self.offsets = ends[self.list_offsets - first]
+        index, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        marked = pc.match_substring_regex(distinct, SPECIAL.pattern).to_numpy(zero_copy_only=False)
+        plain = pc.string_is_ascii(distinct).to_numpy(zero_copy_only=False) & ~marked
+        groups, counts, words = [], [], []
+        for chosen in (plain, ~plain & ~marked, marked):
+            at = np.flatnonzero(chosen)
+            if not len(at):
+                continue
+            some = distinct.take(pa.array(at))
+            if chosen is marked:  # special tokens stand as words of their own; a letter that no word holds marks them
+                made = [[w for p in SPECIAL.split(c) for w in ([b"\n" + p.encode()] if p in special else [x.encode() for x in split_words(p)])] for c in some.to_pylist()]
+                found, each = pa.array([w for x in made for w in x], pa.large_binary()), np.array(list(map(len, made)))
+            else:
+                found, each = ascii_words(some) if chosen is plain else other_words(some.to_pylist())
+            groups.append(at), counts.append(each), words.append(found)
+        if not groups:
+            self.ids, self.offsets = np.zeros(0, dtype="<u4"), np.zeros(len(texts) + 1, dtype=np.int64)
+            return
+        spelled = pa.concat_arrays(words).dictionary_encode()
+        which, vocabulary = spelled.indices.to_numpy(zero_copy_only=False), spelled.dictionary
+        named = pc.starts_with(vocabulary, b"\n").to_numpy(zero_copy_only=False)
+        ids, n = encode(vocabulary.filter(pa.array(~named)))
+        if named.any():
+            theirs = np.array([special[w[1:].decode()] for w in vocabulary.filter(pa.array(named)).to_pylist()], dtype="<u4")
+            every, start = np.ones(len(vocabulary), dtype=np.int64), np.zeros(len(vocabulary), dtype=np.int64)
+            every[~named], start[~named] = n, np.cumsum(n) - n
+            start[named] = len(ids) + np.arange(len(theirs))
+            ids, n = np.concatenate([ids, theirs]), every
+        else:
+            start = np.cumsum(n) - n
+        # chunks, in the order of their groups
+        order, each = np.concatenate(groups), np.concatenate(counts)
+        sizes = np.concatenate([[0], np.cumsum(n[which])])
+        last = np.cumsum(each)
+        table = ids[spread(start[which], n[which])]
+        chunk_start, chunk_size = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+        chunk_start[order], chunk_size[order] = sizes[last - each], sizes[last] - sizes[last - each]
+        size = chunk_size[index]
+        self.ids = table[spread(chunk_start[index], size)]
+        self.offsets = np.concatenate([[0], np.cumsum(size)])[list_offsets - list_offsets[0]]

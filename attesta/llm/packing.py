@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import Encoded, TwoGenerations, as_letters, chunk_encoder, slices
+from .chunks import Encoded, WordEncoder, as_letters, one_by_one, slices
 
 #: Window sizes in tokens, powers of two; the largest is the model's context.
 TIERS = (256, 512, 1024, 2048)
@@ -26,18 +26,17 @@ STEP_TOKENS = 16_384
 POOL_TOKENS = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, sequence_tokens long, step_group long"
 
-_LOADED: dict[str, TwoGenerations] = {}
+_LOADED: dict[str, tuple[WordEncoder, dict[str, int]]] = {}
 
 
-def loaded(path: str) -> TwoGenerations:
-    """The library's model, called once for each distinct pre-split word that a worker's cache lacks."""
+def loaded(path: str) -> tuple[WordEncoder, dict[str, int]]:
+    """The library's model, called once for each distinct pre-split word that a worker's cache lacks, and the special tokens."""
     if path not in _LOADED:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         model = t.model
-        special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-        _LOADED[path] = chunk_encoder(lambda w: [x.id for x in model.tokenize(as_letters(w))], special)
+        _LOADED[path] = one_by_one(lambda w: [x.id for x in model.tokenize(as_letters(w))]), {x.content: i for i, x in t.get_added_tokens_decoder().items()}
     return _LOADED[path]
 
 
@@ -113,7 +112,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, base = loaded(path), TaskContext.get().partitionId() << 33
+        (encoder, special), base = loaded(path), TaskContext.get().partitionId() << 33
         packer = Packer(tiers)
         docs: dict[int, list] = {}  # doc -> [key, ids, tokens not yet placed]
         count = 0
@@ -147,7 +146,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_
         number = 0
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                e = Encoded(b.column(1).slice(lo, hi - lo), encoder)
+                e = Encoded(b.column(1).slice(lo, hi - lo), encoder, special)
                 for i, k in enumerate(b.column(0).slice(lo, hi - lo).to_pylist()):
                     ids = np.append(e.ids[e.offsets[i] : e.offsets[i + 1]], np.array(end_id, dtype="<u4"))
                     docs[number] = [k, ids, len(ids)]

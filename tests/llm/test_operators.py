@@ -1,9 +1,11 @@
 """Operators against brute force, on made rows with nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
+import itertools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,9 +132,46 @@ def test_bpe_random_words():
     automaton, labels, _ = bpe.load(vocabulary())
     for _ in range(3000):
         w = "".join(RND.choice("aabcdeeeghiilmnnoooprssttuvwyé") for _ in range(RND.randrange(1, 18)))
-        ids = automaton.encode(chunks.as_letters(w))
+        ids = automaton.encode(w.encode())
         assert ids == t.encode(w, add_special_tokens=False).ids
-        assert "".join(labels[i] for i in ids).removesuffix("</w>") == chunks.as_letters(w)
+        assert "".join(labels[i] for i in ids).removesuffix("</w>") == chunks.as_letters(w.encode())
+
+
+def test_bpe_random_texts():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    encoder, _, special = bpe.loaded(vocabulary())
+    texts = ["".join(RND.choice("aabcdeeegilnorstuvwyéABC'’ .,!?0123\xa0\x85ß日Σ-") for _ in range(RND.randrange(60))) for _ in range(3000)]
+    texts += ["it's we'll 've ''s \"'s 'lll 'school x'd'd '", "<|endoftext|>ab<|startoftext|>'s <|endoftext|>", "a" * 700, "ab" * 500, "x" * 64, "x" * 65, None, "", "\x00\x01" * 50, "é Å̧ İ ΑΣ"]
+    e = chunks.Encoded(pa.array(texts), encoder, special)
+    assert [e.ids[a:b].tolist() for a, b in zip(e.offsets, e.offsets[1:], strict=False)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_bpe_automaton_on_a_small_vocabulary():
+    """The automaton accepts what merging by rank gives, and nothing else, over all sequences of tokens."""
+    merges = [("a", "b"), ("a", "a"), ("ab", "a"), ("b", "aa"), ("aa", "aa"), ("b", "b"), ("aba", "bb")]
+    vocab = {x: i for i, x in enumerate(["a", "b", *(u + v for u, v in merges)])}
+    automaton = bpe.MergeAutomaton(vocab, merges)
+
+    def by_rank(word):
+        parts = list(word)
+        for u, v in merges:
+            out = []
+            for p in parts:
+                if out and out[-1] == u and p == v:
+                    out[-1] = u + v
+                else:
+                    out.append(p)
+            parts = out
+        return parts
+
+    for n in range(1, 5):
+        for tokens in itertools.product(vocab, repeat=n):
+            accepted = all(vocab[x] not in automaton.dead for x in tokens) and all(automaton.has(vocab[x], vocab[y]) for x, y in zip(tokens, tokens[1:], strict=False))
+            assert accepted == (by_rank("".join(tokens)) == list(tokens)), tokens
+    x, y = (np.array(z).ravel() for z in np.meshgrid(range(len(vocab)), range(len(vocab))))
+    assert automaton.allowed(x, y).tolist() == [automaton.has(int(a), int(b)) for a, b in zip(x, y, strict=True)] == automaton.allowed(x, y).tolist()
 
 
 def test_packing(docs, rows):
