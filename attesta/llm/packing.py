@@ -3,11 +3,13 @@
 Documents are routed by token count to tiers of window sizes. The longest tier is packed first; what
 a window has left is filled from shorter documents (whole ones first, then the head of one that
 is cut). Windows come out full, so padding is left only in each task's last window. Windows go to step
-groups of equal token budgets.
+groups of equal token budgets, those of one tier together; windows that are left when a task ends fill no group of their tier, so they are
+dealt, largest first, to the least filled of as few groups as hold them.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -101,12 +103,24 @@ class Packer:
             yield next(t for t in self.tiers if t >= size), self.window(size)
 
 
+def even_groups(windows: list, step_tokens: int) -> list[list]:
+    """Windows (size, ...), largest first, in as few groups of ``step_tokens`` as hold them, each to the least filled one. Sizes are powers of two
+    that divide ``step_tokens``, so no group overflows and two differ by the largest window at most."""
+    heap = [(0, g, []) for g in range(-(-sum(w[0] for w in windows) // step_tokens))]
+    for w in windows:
+        load, g, mine = heap[0]
+        mine.append(w)
+        heapq.heapreplace(heap, (load + w[0], g, mine))
+    return [mine for _, _, mine in heap]
+
+
 def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """One row for each piece of a document's ids (SCHEMA).
 
     Each task packs its own partition, without a shuffle. A null or empty text is the one id ``end_id``. Repeated rows are packed as often as they stand;
-    a null key stays null; an empty table gives no rows. ``tier`` is the window size, ``sequence_tokens`` its
-    ids without padding, ``step_group`` numbers groups of windows of one tier that hold ``step_tokens`` ids.
+    a null key stays null; an empty table gives no rows; other columns are not read. A very long text is encoded whole, by itself, and cut into full windows. ``tier`` is the window size, ``sequence_tokens`` its
+    ids without padding, ``step_group`` numbers groups of windows that hold at most ``step_tokens`` ids: full groups of one tier, and what is left
+    of a task's in groups as even as can be.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,26 +130,34 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_
         packer = Packer(tiers)
         docs: dict[int, list] = {}  # doc -> [key, ids, tokens not yet placed]
         count = 0
-        group: dict[int, list[int]] = {}  # tier -> [its open group, windows in it]
+        open_group: dict[int, list] = {}  # tier -> windows that wait for a full group
         groups = 0
         rows: list[tuple] = []
 
+        def close(windows: list) -> None:
+            nonlocal groups
+            rows.extend((*piece, base + groups) for _, pieces in windows for piece in pieces)
+            groups += 1
+
         def place(tier: int, pieces: list) -> None:
-            nonlocal count, groups
-            per = max(1, step_tokens // tier)
-            if tier not in group or group[tier][1] == per:
-                group[tier] = [groups, 0]
-                groups += 1
-            group[tier][1] += 1
-            total, offset = sum(p[2] for p in pieces), 0
+            nonlocal count
+            total, offset, made = sum(p[2] for p in pieces), 0, []
             for doc, start, n in pieces:
                 held = docs[doc]
-                rows.append((held[0], start, n, zlib.crc32(held[1][start : start + n]), len(held[1]), base + count, offset, tier, total, base + group[tier][0]))
+                made.append((held[0], start, n, zlib.crc32(held[1][start : start + n]), len(held[1]), base + count, offset, tier, total))
                 offset += n
                 held[2] -= n
                 if not held[2]:
                     del docs[doc]
             count += 1
+            waiting = open_group.setdefault(tier, [])
+            waiting.append((tier, made))
+            if len(waiting) * tier >= step_tokens:
+                close(open_group.pop(tier))
+
+        def settle() -> None:
+            for windows in even_groups([w for tier in tiers[::-1] for w in open_group.get(tier, [])], step_tokens):
+                close(windows)
 
         def out() -> pa.RecordBatch:
             names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -160,6 +182,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_
                     yield out()
         for w in packer.windows(True):
             place(*w)
+        settle()
         if rows:
             yield out()
 

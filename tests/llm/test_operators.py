@@ -194,9 +194,19 @@ def test_packing(docs, rows):
         assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() == s.sequence_tokens.iloc[0] <= 2048
     totals = got.groupby("sequence_id").length.sum()
     assert (~totals.isin([256, 512, 1024, 2048])).sum() <= 5  # one for each task at most
-    assert (got.groupby("step_group").tier.nunique() == 1).all()
-    steps = got.drop_duplicates("sequence_id").groupby("step_group").tier.sum()
-    assert steps.max() <= packing.STEP_TOKENS
+    windows = got.drop_duplicates("sequence_id")
+    steps = windows.groupby("step_group").tier.agg(["sum", "nunique"]).assign(task=lambda x: x.index // (1 << 33))
+    assert steps["sum"].max() <= packing.STEP_TOKENS
+    part = steps[steps["sum"] < packing.STEP_TOKENS]
+    assert (part.groupby("task")["sum"].agg(lambda x: x.max() - x.min()) <= 2048).all() and (steps[steps["nunique"] > 1].groupby("task").size() <= 4).all()
+    assert steps.groupby("task")["sum"].agg(lambda x: len(x) == -(-x.sum() // packing.STEP_TOKENS)).all()
+
+
+def test_even_groups():
+    windows = [(2048,)] * 7 + [(1024,)] * 15 + [(512,)] * 20 + [(256,)] * 50
+    groups = packing.even_groups(windows, 16_384)
+    sums = [sum(w[0] for w in g) for g in groups]
+    assert len(groups) == 4 and sum(sums) == sum(w[0] for w in windows) and max(sums) - min(sums) <= 256 and packing.even_groups([], 16_384) == []
 
 
 def test_sharding(docs, rows):
