@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -59,11 +60,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Columns of control rows beside the row id.
+CONTROL = ("a", "b", "c", "d")
+#: Most tasks of a pass; a task takes several segments where there are more.
+MOST_TASKS = 50_000
+
+
 class RowStore:
     """A table written once, one file a task, with a row id that stays the same in later passes.
 
     The row id is ``segment << 33 | position``; a segment is one file. A pass hands each segment to
-    one task together with small *control rows* ``(rid, a, b)`` for it, so that several passes over
+    one task together with small *control rows* ``(rid, a, b, c, d)`` for it, so that several passes over
     long texts shuffle only control rows and never the texts.
     """
 
@@ -71,9 +78,14 @@ class RowStore:
         self.spark, self.path, self.rid = spark, path, rid
         self.df = spark.read.schema(df.schema).parquet(path)
         fs, inner = open_fs(path)
-        names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.base_name.startswith("part-"))
-        #: One short name for each task of the write.
-        self.files = {int(re.match(r"part-(\d+)", n)[1]): n for n in names}
+        names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.base_name.startswith("part-")]
+        found = [re.match(r"part-(\d+)(.*)", n) for n in names]
+        #: Files are named by the task that wrote them; a task without rows has none.
+        self.segments = 1 + max((int(m[1]) for m in found), default=-1)
+        self.digits, self.ending = min((len(m[1]) for m in found), default=0), found[0][2] if found else ""
+        assert all(m[2] == self.ending for m in found)
+        self.present = np.zeros(self.segments, dtype=bool)
+        self.present[[int(m[1]) for m in found]] = True
 
     @classmethod
     def write(cls, df: DataFrame, name: str) -> RowStore:
@@ -85,25 +97,24 @@ class RowStore:
     def run(self, control: DataFrame | None, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema, columns: list[str] | None = None, batch: int = 2000) -> DataFrame:
         """Apply ``fn(rows, control)`` to the batches of every segment.
 
-        ``rows`` has ``columns`` and the row id; ``control`` is a list of numpy arrays rid, a, b, c for those rows,
+        ``rows`` has ``columns`` and the row id; ``control`` is a list of numpy arrays rid, a, b, c, d for those rows,
         sorted (columns of longs; absent ones are 0). Control rows of one segment meet in one task; they are bounded
         by the segment's size. Every segment is read, with control rows or without.
         """
-        order = {seg: i for i, seg in enumerate(sorted(self.files))}
-        heads = self.spark.createDataFrame([(i, None, 0, 0, 0) for i in range(len(order))] or [(-1, None, 0, 0, 0)], "ordinal int, rid long, a long, b long, c long")
-        heads = heads.where("ordinal >= 0")
+        tasks = max(1, min(self.segments, MOST_TASKS))
+        none = [F.lit(None).cast("long").alias("rid"), *(F.lit(0).cast("long").alias(c) for c in CONTROL)]
+        heads = self.spark.range(self.segments).select(F.col("id").cast("int").alias("segment"), *none)
         if control is not None:
-            width = max(order, default=0) + 1
-            table = [order.get(seg, -1) for seg in range(width)]
-            segment = F.element_at(F.array(*[F.lit(x) for x in table]), F.shiftright("rid", 33).cast("int") + 1) if table != list(range(width)) else F.shiftright("rid", 33).cast("int")
-            have = [F.col(c).cast("long").alias(c) if c in control.columns else F.lit(0).cast("long").alias(c) for c in ("a", "b", "c")]
-            heads = heads.unionByName(control.select(segment.alias("ordinal"), "rid", *have))
-        dealt = heads.repartitionById(max(1, len(order)), F.col("ordinal")).sortWithinPartitions("ordinal", "rid", "a", "b", "c")
-        path, names, rid = self.path, [self.files[s] for s in sorted(self.files)], self.rid
+            have = [F.col(c).cast("long").alias(c) if c in control.columns else F.lit(0).cast("long").alias(c) for c in CONTROL]
+            heads = heads.unionByName(control.select(F.shiftright("rid", 33).cast("int").alias("segment"), "rid", *have))
+        dealt = heads.repartitionById(tasks, F.col("segment") % tasks).sortWithinPartitions("segment", "rid", *CONTROL)
+        path, digits, ending, present, rid = self.path, self.digits, self.ending, np.packbits(self.present), self.rid
         take = None if columns is None else [*dict.fromkeys([*columns, rid])]
 
-        def segment_rows(ordinal: int, keys: list) -> Iterator[pa.RecordBatch]:
-            fs, inner = open_fs(f"{path}/{names[ordinal]}")
+        def segment_rows(segment: int, keys: list) -> Iterator[pa.RecordBatch]:
+            if not present[segment >> 3] >> (7 - (segment & 7)) & 1:
+                return
+            fs, inner = open_fs(f"{path}/part-{segment:0{digits}d}{ending}")
             with pq.ParquetFile(fs.open_input_file(inner)) as f:
                 at = 0
                 for rows in f.iter_batches(batch_size=batch, columns=take):
@@ -116,8 +127,6 @@ class RowStore:
                             yield out
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-
             held: dict[int, list] = {}
             for b in batches:
                 ordinals = b.column(0).to_numpy(zero_copy_only=False)
@@ -131,6 +140,6 @@ class RowStore:
         def flush(o: int, parts: list) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
             t = t.filter(t.column("rid").is_valid())
-            yield from segment_rows(o, [t.column(c).to_numpy() for c in ("rid", "a", "b", "c")])
+            yield from segment_rows(o, [t.column(c).to_numpy() for c in ("rid", *CONTROL)])
 
         return dealt.mapInArrow(task, schema)

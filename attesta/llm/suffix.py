@@ -5,10 +5,11 @@ A string of ``length`` bytes that starts twice is found in three steps:
 1. *Anchors.* Of the GRAM-byte strings inside each window of ``length`` bytes, the one with the least hash is
    the window's anchor, so equal windows have equal anchors. Consecutive windows of one anchor make a *segment*.
    Anchors that stand once in the corpus rule their windows out.
-2. *Index.* The segments of an anchor that stands several times meet in one task. Equal segments are settled at
-   once; different ones go into a run-length index: the run-compressed Burrows-Wheeler transform of the block, with suffix positions sampled at the ends of
-   its runs. From the samples it streams, for each position, the longest match with any other
-   position, and windows that match over ``length`` bytes or more are marked.
+2. *Index.* The segments of an anchor that stands several times meet in a bucket, those of a frequent anchor in several buckets of some BUCKET segments
+   each. Equal segments of a bucket are kept once, and the different ones go into a run-length index: their run-compressed Burrows-Wheeler transform, with suffix positions
+   sampled at the ends of its runs. From the samples it streams, for each position, the longest match with the suffixes before and after it;
+   windows that match over ``length`` bytes or more are marked. Where an anchor has several buckets, each gives out its different windows once, as
+   digests, and a shuffle finds those that stand in several buckets.
 3. *Removal.* Marked ranges go back to the texts' segments.
 
 Equal windows always share an anchor, so an index over one anchor's segments sees all places of its windows.
@@ -28,10 +29,10 @@ from .store import RowStore, materialise
 
 LENGTH = 200
 GRAM = 50
-#: Bytes of different segments in one index; bounds a task's memory (some 100 bytes for each).
-BLOCK = 1 << 20
-#: An anchor that stands more often than this has its windows compared one by one through a shuffle on their digests instead.
-HOT = 10_000
+#: Bytes of different segments in one index, or those of one bucket if they are more; bounds a task's memory (some 120 bytes for each).
+BLOCK = 1 << 19
+#: Segments of one anchor that meet in a bucket, on average; a bucket's bytes are at most some 350 times as many.
+BUCKET = 1_000
 SEPARATOR, START = 0xFF, 0xFE  # bytes that UTF-8 never holds
 
 
@@ -104,22 +105,23 @@ class RunLengthIndex:
             live = live[going]
         return np.minimum(out, np.where(valid, n - np.maximum(p, q), 0))
 
-    def matching_statistics(self) -> np.ndarray:
-        """For each position the length of its longest match with another position.
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position the lengths of its match with the suffix before it in order, and with the one after it; the greater is its longest
+        match with any other position.
 
         A suffix inside a run has its neighbour's match shortened by one letter from the position before, so the values at run ends
         are streamed from left to right.
         """
         n, here = len(self.text), np.arange(len(self.text))
-        best = np.zeros(n, dtype=np.int64)
+        out = []
         for at, match in ((self.head_at, self.head_match), (self.tail_at, self.tail_match)):
             sampled = np.full(n, -1, dtype=np.int64)
             sampled[at] = at
             sampled = np.maximum.accumulate(sampled)
             value = np.zeros(n, dtype=np.int64)
             value[at] = match
-            best = np.maximum(best, value[sampled] - (here - sampled))
-        return best
+            out.append(value[sampled] - (here - sampled))
+        return out[0], out[1]
 
     def occurrences(self, pattern: bytes) -> int:
         """Number of places of ``pattern``, by backward search over the runs."""
@@ -224,83 +226,99 @@ def find_anchors(rows: pa.RecordBatch, control: list, rid: str, text: str, lengt
     return pa.RecordBatch.from_arrays([pa.array(h, mask=null), pa.array(r), pa.array(a), pa.array(b)], names=["h", "rid", "a", "b"])
 
 
-def cut(rows: pa.RecordBatch, control: list, rid: str, text: str, length: int) -> pa.RecordBatch:
-    """h, g, rid, a, s: the bytes of the segments in control (c is the anchor); for hot ones (c = 0) their windows' digests h, g."""
+def cut(rows: pa.RecordBatch, control: list, rid: str, text: str) -> pa.RecordBatch:
+    """h, bucket, several, rid, a, s: the bytes of the segments in control (c is the anchor, d the number of its buckets)."""
+    if not len(control[0]):
+        return None
     ids = rows.column(rows.schema.get_field_index(rid)).to_numpy()
     texts = rows.column(rows.schema.get_field_index(text)).cast(pa.large_binary())
-    h, g, r, at, s = [], [], [], [], []
-    for k, a, b, c, row in zip(*(x.tolist() for x in control), np.searchsorted(ids, control[0]).tolist(), strict=True):
-        raw = texts[row].as_buffer()[a:b].to_pybytes()
-        if c:
-            h.append(c), g.append(None), r.append(k), at.append(a), s.append(raw)
-        else:
-            for i in range(len(raw) - length + 1):
-                d = hashlib.blake2b(raw[i : i + length], digest_size=16).digest()
-                h.append(int.from_bytes(d[:8], "big", signed=True)), g.append(int.from_bytes(d[8:], "big", signed=True)), r.append(k), at.append(a + i), s.append(None)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(r, pa.int64()), pa.array(at, pa.int64()), pa.array(s, pa.binary())], names=["h", "g", "rid", "a", "s"]) if h else None
-
-
-def marked(strings: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each of some different strings, the ranges covered by windows that stand twice or more among all of them."""
-    text = np.frombuffer(b"\xff".join([*strings, b""]), dtype=np.uint8)
-    good = RunLengthIndex(text).matching_statistics() >= length
-    out, at = [], 0
-    for s in strings:
-        g = good[at : at + len(s) - length + 1].astype(np.int8)
-        edges = np.diff(np.concatenate([[0], g, [0]]))
-        out.append(list(zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) - 1 + length).tolist(), strict=True)))
-        at += len(s) + 1
-    return out
+    r, a, b, h, d = control
+    spread = (r.astype(np.uint64) * np.uint64(BASE) + a.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    bucket = ((spread >> np.uint64(33)) % d.astype(np.uint64)).astype(np.int64)
+    raws = [texts[row].as_buffer() for row in range(len(ids))] if len(r) > len(ids) else None
+    at = np.searchsorted(ids, r).tolist()
+    s = [(raws[row] if raws else texts[row].as_buffer())[x:y].to_pybytes() for row, x, y in zip(at, a.tolist(), b.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(bucket), pa.array(d > 1), pa.array(r), pa.array(a), pa.array(s, pa.binary())], names=["h", "bucket", "several", "rid", "a", "s"])
 
 
 def match_segments(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
-    """rid, a, b of repeated ranges, from segments sorted by anchor."""
-    out: list[tuple[int, int, int]] = []
-    waiting: list[tuple[bytes, list]] = []
+    """MATCHES, from segments sorted by anchor and bucket: ranges (rid, a, b) of windows that stand twice or more in their bucket, and, without b,
+    the different windows of anchors with several buckets by digest (h, g): with their place if they stand once in the bucket."""
+    ranges: list[tuple] = []
+    windows: list[tuple] = []
+    waiting: list[tuple[bytes, list, bool]] = []
     size = 0
 
-    def settle(group: dict[bytes, list]) -> None:
+    def settle(group: dict[bytes, list], several: bool) -> None:
         nonlocal size
         for s, places in group.items():
             if len(places) > 1:
-                out.extend((r, a, a + len(s)) for r, a in places)
-        if len(group) > 1:
-            waiting.extend(group.items())
-            size += sum(map(len, group))
+                ranges.extend((r, a, a + len(s)) for r, a in places)
+        if len(group) > 1 or several:
+            bytes_ = sum(map(len, group))
+            if size and size + bytes_ > block:
+                index()
+            waiting.extend((s, places, several) for s, places in group.items())
+            size += bytes_
 
     def index() -> None:
         nonlocal size
-        for (_, places), ranges in zip(waiting, marked([s for s, _ in waiting], length), strict=True):
+        text = np.frombuffer(b"\xff".join([*(s for s, *_ in waiting), b""]), dtype=np.uint8)
+        before, after = RunLengthIndex(text).matching_statistics()
+        first, twice = before < length, np.maximum(before, after) >= length
+        at = 0
+        for s, places, several in waiting:
+            n = len(s) - length + 1
             if len(places) == 1:
                 (r, a), *_ = places
-                out.extend((r, a + x, a + y) for x, y in ranges)
+                edges = np.diff(np.concatenate([[0], twice[at : at + n].astype(np.int8), [0]]))
+                ranges.extend((r, a + x, a + y - 1 + length) for x, y in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+            if several:
+                for i in np.flatnonzero(first[at : at + n]).tolist():
+                    d = hashlib.blake2b(s[i : i + length], digest_size=16).digest()
+                    alone = len(places) == 1 and not twice[at + i]
+                    windows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), *((places[0][0], places[0][1] + i) if alone else (None, None))))
+            at += len(s) + 1
         waiting.clear()
         size = 0
 
-    def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["rid", "a", "b"])
-        out.clear()
-        return made
+    def flush() -> Iterator[pa.RecordBatch]:
+        names = ["h", "g", "rid", "a", "b"]
+        for rows, have in ((ranges, names[2:]), (windows, names[:4])):
+            if rows:
+                columns = dict(zip(have, zip(*rows, strict=True), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * len(rows)), pa.int64()) for c in names], names=names)
+                rows.clear()
 
-    last, group = None, {}
+    last, group = (None, None, False), {}
     for b in batches:
-        for h, r, a, s in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if h != last:
-                settle(group)
-                last, group = h, {}
-                if size >= block:
-                    index()
-                if len(out) > 50_000:
-                    yield flush()
+        for h, bucket, several, r, a, s in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if h != last[0] or bucket != last[1]:
+                settle(group, last[2])
+                last, group = (h, bucket, several), {}
+                if len(ranges) + len(windows) > 50_000:
+                    yield from flush()
             group.setdefault(s, []).append((r, a))
-    settle(group)
+    settle(group, last[2])
     if waiting:
         index()
-    if out:
-        yield flush()
+    yield from flush()
+
+
+MATCHES = "h long, g long, rid long, a long, b long"
+
+
+def joined_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """rid, a, b of the runs of windows (rid, a, sorted) that overlap or touch; runs may be cut between batches."""
+    for b in batches:
+        r, a = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if len(r):
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] > a[:-1] + length)])
+            first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:] - 1, [len(r) - 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(a[first]), pa.array(a[last] + length)], names=["rid", "a", "b"])
 
 
-def repeated_ranges(store: RowStore, text: str, length: int, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def repeated_ranges(store: RowStore, text: str, length: int, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """rid, a, b: byte ranges whose union is what is covered by strings of ``length`` bytes that start twice or more."""
     spark, rid = store.spark, store.rid
     shown = store.df.select(F.col(rid).alias("rid"), F.octet_length(text).cast("long").alias("size"), F.sha2(F.col(text), 256).alias("same")).where(F.col("size") >= length)
@@ -308,19 +326,21 @@ def repeated_ranges(store: RowStore, text: str, length: int, block: int = BLOCK,
     copies = materialise(shown.join(several, "same").select("rid", "size", (F.col("rid") == F.col("kept")).alias("kept")), "copies")
     whole = copies.select("rid", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
     found = materialise(store.run(copies.where("not kept").select("rid"), lambda rows, control: find_anchors(rows, control, rid, text, length), "h long, rid long, a long, b long", [text]), "anchors")
-    counts = materialise(found.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    wanted = found.join(counts, "h").select("rid", "a", "b", F.when((F.col("n") > hot) | (F.col("h") == 0), 0).otherwise(F.col("h")).alias("c"))
-    pieces = store.run(wanted, lambda rows, control: cut(rows, control, rid, text, length), "h long, g long, rid long, a long, s binary", [text])
-    one_by_one = not counts.where((F.col("n") > hot) | (F.col("h") == 0)).isEmpty()
-    if one_by_one:
-        pieces = materialise(pieces, "pieces")
+    counts = materialise(found.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / bucket).alias("d")), "counts")
+    wanted = found.join(counts, "h").select("rid", "a", "b", F.col("h").alias("c"), "d")
+    pieces = store.run(wanted, lambda rows, control: cut(rows, control, rid, text), "h long, bucket long, several boolean, rid long, a long, s binary", [text])
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = pieces.where("s is not null").select("h", "rid", "a", "s").repartition(width, "h").sortWithinPartitions("h")
-    out = whole.unionByName(found.where("h is null").select("rid", "a", "b")).unionByName(segments.mapInArrow(lambda it: match_segments(it, length, block), "rid long, a long, b long"))
-    if one_by_one:
-        windows = pieces.where("s is null").select("h", "g", "rid", "a")
+    segments = pieces.repartition(width, "h", "bucket").sortWithinPartitions("h", "bucket")
+    matches = segments.mapInArrow(lambda it: match_segments(it, length, block), MATCHES)
+    frequent = not counts.where("d > 1").isEmpty()
+    if frequent:
+        matches = materialise(matches, "matches")
+    out = whole.unionByName(found.where("h is null").select("rid", "a", "b")).unionByName(matches.where("b is not null").select("rid", "a", "b"))
+    if frequent:
+        windows = matches.where("b is null")
         twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-        out = out.unionByName(windows.join(twice, ["h", "g"]).select("rid", "a", (F.col("a") + length).alias("b")))
+        again = windows.where("rid is not null").join(twice, ["h", "g"]).select("rid", "a").repartition(width, "rid").sortWithinPartitions("rid", "a")
+        out = out.unionByName(again.mapInArrow(lambda it: joined_windows(it, length), "rid long, a long, b long"))
     return materialise(out, "ranges")
 
 
@@ -348,7 +368,7 @@ def dedup_report(df: DataFrame, text: str = "text", key: str = "doc_id", length:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``df``.
 
     A null text is empty. Texts under ``length`` bytes lose nothing; repeated rows lose all of a text of ``length`` bytes or more. A null key stays null; an
-    empty table gives no rows; only the text and the key are read.
+    empty table gives no rows; only the text and the key are read. A very long text is searched whole, in stretches that overlap by a window; one worker holds it.
     """
     store = RowStore.write(df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")), "suffix")
     name = store.rid
@@ -364,7 +384,10 @@ def dedup_report(df: DataFrame, text: str = "text", key: str = "doc_id", length:
 
 
 def drop_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``df`` without the repeated bytes of its texts. A character that a removal cuts through is dropped whole; null stays null."""
+    """``df`` without the repeated bytes of its texts. A character that a removal cuts through is dropped whole; null stays null.
+
+    Repeated rows of ``length`` bytes or more become empty texts, as each is a copy of the other; an empty table gives no rows; all other columns stay as they are.
+    """
     store = RowStore.write(df, "suffix")
     name, names = store.rid, df.columns
 

@@ -144,7 +144,7 @@ def write_archives(df: DataFrame, payload: str = "html", url: str = "url", key:
 
     def write(rows: pa.RecordBatch, control: list) -> pa.RecordBatch:
         ids = rows.column(rows.schema.get_field_index(name)).to_numpy()
-        revisit = {r: (None if none else to,) for r, _, to, none in zip(*(x.tolist() for x in control), strict=True)}
+        revisit = {r: (None if none else to,) for r, _, to, none in zip(*(x.tolist() for x in control[:4]), strict=True)}
         fs, inner = open_fs(path)
         fs.create_dir(inner, recursive=True)
         archive, own = f"{ids[0]:016d}.warc.gz", f".{uuid.uuid4().hex}"

@@ -274,11 +274,12 @@ def test_suffix(docs, rows):
     assert keyed((r.doc_id, r.text) for r in out.collect()) == keyed((k, None if t is None else kept.decode("utf-8", "ignore")) for (k, t), (*_, kept) in zip(rows, want, strict=True))
 
 
-@pytest.mark.parametrize("hot, block", [(2, 1 << 20), (10_000, 1)])
-def test_suffix_hot_and_small_blocks(spark, monkeypatch, hot, block):
-    monkeypatch.setattr(suffix.repeated_ranges, "__defaults__", (block, hot))
+@pytest.mark.parametrize("bucket, block", [(2, 1 << 19), (5, 1 << 19), (3, 1), (1_000, 1)])
+def test_suffix_buckets_and_small_blocks(spark, monkeypatch, bucket, block):
+    monkeypatch.setattr(suffix.repeated_ranges, "__defaults__", (block, bucket))
     passage = prose(90)
     texts = [prose(RND.randrange(30)) + passage[RND.randrange(60) :] + prose(RND.randrange(40)) for _ in range(40)]
+    texts += [t[:at] + "#" + t[at:] for t in (passage * 2,) for at in RND.sample(range(600), 30)] + ["z" * 900]
     got = suffix.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     want = brute.repeats(texts)
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (*want[r.doc_id][:3], brute.sha(want[r.doc_id][3])) for r in got)
@@ -290,7 +291,7 @@ def test_run_length_index():
         index = suffix.RunLengthIndex(np.frombuffer(t, dtype=np.uint8))
         assert suffix.suffix_array(np.frombuffer(t, dtype=np.uint8)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
         common = lambda i, j: next((k for k in range(len(t)) if max(i, j) + k >= len(t) or t[i + k] != t[j + k]), 0)  # noqa: B023, E731
-        assert index.matching_statistics().tolist() == [max((common(i, j) for j in range(len(t)) if j != i), default=0) for i in range(len(t))]
+        assert np.maximum(*index.matching_statistics()).tolist() == [max((common(i, j) for j in range(len(t)) if j != i), default=0) for i in range(len(t))]
         p = bytes(RND.choice(b"ab") for _ in range(2))
         assert index.occurrences(p) == sum(t.startswith(p, i) for i in range(len(t))) and index.runs <= len(t)
 
