@@ -1,8 +1,8 @@
 """Pairs of sets whose Jaccard overlap reaches a bound, by prefix filtering: none is missed.
 
-Elements have one global order, those that are frequent in a sample last. Of sets with Jaccard ``t`` or more, the first
-``n - ceil(t n) + 1`` elements of both share one, so only these are joined. What the sample holds
-decides how much is compared, never which pairs are found.
+Elements have one global order, those that many sets hold last: first those that are frequent in a sample, then, counted over all sets, those that many prefixes
+hold. Of sets with Jaccard ``t`` or more, the first ``n - ceil(t n) + 1`` elements of both share one, so only these are joined, and the first one that they share
+leaves enough elements behind it in both. What the order is decides how much is compared, never which pairs are found.
 """
 
 from __future__ import annotations
@@ -16,11 +16,30 @@ from pyspark.sql import functions as F
 
 #: Sets in the sample, and the most elements that it may name as frequent (driver and tasks hold them).
 SAMPLE, FREQUENT = 4_000, 50_000
+#: An element in more prefixes than this goes behind those of fewer.
+COMMON = 32
+#: Rounds in which each set is compared with some of the sets that it shares elements with, before all of them are; and how many of them.
+ROUNDS, HUBS = 2, 3
 
 #: Cuts the lineage of a table.
 Keep = Callable[[DataFrame, str], DataFrame]
-#: The sets (id long, s array<long> without repeats) that a table of distinct ids names.
-Fetch = Callable[[DataFrame], DataFrame]
+#: The sets (id long, s array<long> without repeats) that a table of ids names; or, with a function of their record batches and its schema, what it makes of
+#: them. Where the table has rows (id, e, w), several for an id, the batches have them as lists e and w.
+Fetch = Callable[..., DataFrame]
+
+
+def stored(sets: DataFrame) -> Fetch:
+    """Fetch from a table."""
+
+    def fetch(ids: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
+        if "e" in ids.columns:
+            lists = ids.groupBy("id").agg(F.collect_list(F.struct("e", "w")).alias("x"))
+            some = sets.join(lists.select("id", F.col("x.e").alias("e"), F.col("x.w").alias("w")), "id").select("id", "s", "e", "w")
+        else:
+            some = sets.join(ids, "id", "left_semi").select("id", "s")
+        return some if each is None else some.mapInArrow(lambda batches: (each(b.slice(at, 500)) for b in batches for at in range(0, b.num_rows, 500)), schema)
+
+    return fetch
 
 
 def frequent(ids: DataFrame, fetch: Fetch) -> np.ndarray:
@@ -32,33 +51,50 @@ def frequent(ids: DataFrame, fetch: Fetch) -> np.ndarray:
     return found.column("h").to_numpy()[::-1]
 
 
-def prefix_size(n, t: float):
-    return n - F.ceil(n * t - 1e-9) + 1
+
+def weights(b: pa.RecordBatch, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The weight w of each element of a batch's sets; 0 where e doesn't name it."""
+    out = np.zeros(len(h), dtype=np.int64)
+    if b.num_columns > 2:
+        e, w = b.column(2), b.column(3)
+        named, of = e.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(e.offsets.to_numpy()))
+        flag = np.concatenate([np.zeros(len(h), dtype=bool), np.ones(len(named), dtype=bool)])
+        order = np.lexsort((flag, np.concatenate([h, named]), np.concatenate([row, of])))  # a named one follows the element itself
+        at = np.flatnonzero(flag[order])
+        out[order[at - 1]] = w.flatten().to_numpy()[order[at] - len(h)]
+    return out
+
+
+def elements(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(1).flatten(), pa.array(np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())))], names=["h", "id"])
 
 
-def prefixes(ids: DataFrame, fetch: Fetch, t: float) -> DataFrame:
-    """(h, id, n): the elements of each set of n that stand first in the global order."""
+def prefixes(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
+    """(h, id, n, p): the elements of each set of n that stand first in the global order, with their place p there."""
     late = frequent(ids, fetch)
     by_value = np.argsort(late, kind="stable")
     values, ranks = late[by_value], by_value + 1
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):  # bounds the arrays below
-            s = b.column(1)
-            h, n = s.flatten().to_numpy(), np.diff(s.offsets.to_numpy())
-            if not len(h):
-                continue
-            rank = np.zeros(len(h), dtype=np.int64)
-            if len(values):
-                at = np.minimum(np.searchsorted(values, h), len(values) - 1)
-                rank = np.where(values[at] == h, ranks[at], 0)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, rank, row))
-            first = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
-            keep = order[np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < first[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(b.column(0).to_numpy()[row[keep]]), pa.array(n[row[keep]].astype(np.int64))], names=["h", "id", "n"])
-
-    return fetch(ids).select("id", "s").mapInArrow(task, "h long, id long, n long")
+    def first(b: pa.RecordBatch) -> pa.RecordBatch:
+        s = b.column(1)
+        h, n = s.flatten().to_numpy(), np.diff(s.offsets.to_numpy())
+        rank = np.zeros(len(h), dtype=np.int64)
+        if len(values) and len(h):
+            at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+            rank = np.where(values[at] == h, ranks[at], 0)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h, weights(b, h, row), rank, row))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        chosen = place < (n - np.ceil(n * t - 1e-9).astype(np.int64) + 1)[row]
+        some, place = order[chosen], place[chosen]
+        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(b.column(0).to_numpy()[row[some]]), pa.array(n[row[some]].astype(np.int64)), pa.array(place), pa.array(rank[some] > 0)], names=["h", "id", "n", "p", "late"])
+
+    schema = "h long, id long, n long, p long, late boolean"
+    rows = keep(fetch(ids, first, schema), "prefixes")
+    common = keep(rows.where("not late").groupBy("h").agg(F.count("*").alias("w")).where(F.col("w") > COMMON), "common")
+    touched = keep(rows.join(common, "h", "left_semi").select("id").distinct(), "touched")
+    named = keep(fetch(touched, elements, "h long, id long").join(common, "h").select("id", F.col("h").alias("e"), "w"), "named")
+    return rows.join(touched, "id", "left_anti").unionByName(fetch(named, first, schema)).select("h", "id", "n", "p")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +118,10 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
-    """Prefix elements (h, id, n) that two sets or more have, with the least and the greatest id that has them."""
+    """Prefix elements (h, id, n, p) that two sets or more have."""
     width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes(ids, fetch, t).repartition(width, "h").sortWithinPartitions("h")
-    rows = keep(dealt.mapInArrow(runs, "h long, id long, n long"), "several")
-    ends = rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    return keep(rows.join(ends, "h"), "shared")
+    dealt = prefixes(ids, fetch, t, keep).repartition(width, "h").sortWithinPartitions("h")
+    return keep(dealt.mapInArrow(runs, "h long, id long, n long, p long"), "shared")
 
 
 def verified(pairs: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
@@ -100,17 +134,22 @@ def verified(pairs: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
     return both.select("u", "v", (F.col("x") / (F.col("n") - F.col("x"))).alias("jaccard")).where(F.col("jaccard") >= t)
 
 
+def reaching(t: float, n: str, p: str, m: str, q: str):
+    """Whether sets of n and m elements that share their elements at the places p and q, and none before, can reach t."""
+    n, p, m, q = map(F.col, (n, p, m, q))
+    size = F.least(n, m) >= F.greatest(n, m) * t - 1e-9
+    return size & (F.least(n - p, m - q) >= (n + m) * (t / (1 + t)) - 1e-9)
+
+
 def candidates(rows: DataFrame, t: float) -> DataFrame:
-    """(u, v), u < v, that may reach t: pairs of ``shared`` rows (with a column ``part``) of different parts."""
-    mixed = rows.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h")
-    rows = rows.join(mixed, "h")
-    left = rows.select("h", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"))
-    right = rows.select("h", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-    pairs = left.join(right, "h").where("u < v AND pu <> pv").where(F.least("nu", "nv") >= F.greatest("nu", "nv") * t - 1e-9)
-    # what isn't counted lies behind the prefix that ends first
-    most = F.col("m") + F.greatest(*(F.col(n) - prefix_size(F.col(n), t) for n in ("nu", "nv")))
-    counted = pairs.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("m"))
-    return counted.where(most >= (F.col("nu") + F.col("nv")) * (t / (1 + t)) - 1e-9).select("u", "v")
+    """(u, v), u < v, that may reach t: pairs of ``shared`` rows (with a column ``part``) of different parts. Of each element's sets, those
+    outside the part that holds most of them are paired with all."""
+    most = rows.groupBy("h", "part").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("m", "part")).alias("large")).where("parts > 1")
+    rows = rows.join(most.select("h", "large"), "h")
+    left = rows.where("part <> large").select("h", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("part").alias("of"))
+    right = rows.select("h", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"), "part", (F.col("part") == F.col("large")).alias("most"))
+    pairs = left.join(right, "h").where("of <> part AND (most OR u < v)").where(reaching(t, "nu", "pu", "nv", "pv"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def similar(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
@@ -118,25 +157,34 @@ def similar(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
     return verified(candidates(shared(ids, fetch, t, keep).withColumn("part", F.col("id")), t), fetch, t, keep)
 
 
-def links(ids: DataFrame, fetch: Fetch, t: float, keep: Keep, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def hubs(rows: DataFrame, t: float, seed: int) -> DataFrame:
+    """(u, v): each set v (rows as for ``candidates``) with the set of another part that, drawn at random among an element's sets, shares most with it."""
+    drawn = rows.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min_by(F.struct("id", "n", "p", "part"), F.xxhash64("id", F.lit(seed))).alias("hub")).where("a <> b")
+    drawn = drawn.select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"), F.col("hub.p").alias("pu"), F.col("hub.part").alias("of"))
+    some = rows.join(drawn, "h").where("part <> of").where(reaching(t, "n", "p", "nu", "pu"))
+    return some.groupBy("id", "u").agg(F.count("*").alias("m")).groupBy("id").agg(F.max_by("u", F.struct("m", "u")).alias("u")).select("u", F.col("id").alias("v"))
+
+
+def links(ids: DataFrame, fetch: Fetch, t: float, keep: Keep, components: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
     """(u, v) whose components are those of all pairs with Jaccard t or more.
 
-    Large groups are first drawn together: each set is compared with the one set that, as least (then as greatest) of
-    its elements' sets, shares most with it. After that, only pairs of different components are.
+    Large groups are first drawn together: each set is compared with a few of those that it shares elements with. After
+    that, only pairs of different components are. ``known`` are links that were verified before.
     """
-    rows = shared(ids, fetch, t, keep)
-    found = None
-    parts = rows.withColumn("part", F.col("id"))
-    for root in ("least", "most"):
-        one = parts.where(F.col("id") != F.col(root)).groupBy("id", root, "n").agg(F.count("*").alias("m"))
-        one = one.where(F.col("m") * 4 >= prefix_size(F.col("n"), t))  # a mere guess: what it leaves is compared below
-        stars = one.groupBy("id").agg(F.max_by(root, F.struct("m", root)).alias("u")).withColumnRenamed("id", "v")
-        if found is not None:
-            of = roots.withColumnRenamed("root", "part")
-            stars = stars.join(of.select(F.col("node").alias("u"), F.col("part").alias("p")), "u", "left").join(of.select(F.col("node").alias("v"), F.col("part").alias("q")), "v", "left")
-            stars = stars.where(F.coalesce("p", "u") != F.coalesce("q", "v"))
-        near = keep(verified(stars, fetch, t, keep).select("u", "v"), "stars")
-        found = near if found is None else found.unionByName(near)
+    rows, found = shared(ids, fetch, t, keep), known
+
+    def parted() -> DataFrame:
+        if found is None:
+            return rows.withColumn("part", F.col("id"))
         roots = keep(components(found), "parts")
-        parts = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
-    return found.unionByName(verified(candidates(keep(parts, "parted"), t), fetch, t, keep).select("u", "v"))
+        return keep(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root"), "parted")
+
+    for turn in range(ROUNDS):
+        parts = parted()
+        stars = [hubs(parts, t, turn * HUBS + k) for k in range(HUBS)]
+        every = stars[0]
+        for more in stars[1:]:
+            every = every.unionByName(more)
+        near = keep(verified(every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), fetch, t, keep).select("u", "v"), "stars")
+        found = near if found is None else found.unionByName(near)
+    return found.unionByName(verified(candidates(parted(), t), fetch, t, keep).select("u", "v"))

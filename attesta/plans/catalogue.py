@@ -406,7 +406,7 @@ def near_duplicate_docs(spark, sf):
     d = graph._settled(d.select("doc_id", shingles.alias("s")).withColumn("same", F.sha2(F.array_join(F.array_sort("s"), " "), 256)))
     first = graph._settled(d.groupBy("same").agg(F.min("doc_id").alias("first")))
     sets = d.select(F.col("doc_id").alias("id"), "s")
-    pairs = overlap.similar(first.select(F.col("first").alias("id")), lambda ids: sets.join(ids, "id", "left_semi"), 0.35, lambda df, name: graph._settled(df))
+    pairs = overlap.similar(first.select(F.col("first").alias("id")), overlap.stored(sets), 0.35, lambda df, name: graph._settled(df))
     members = d.join(first, "same").where("doc_id <> first").select(F.col("first").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("jaccard"), F.lit("member").alias("relation"))
     return pairs.select(F.col("u").alias("doc_id"), F.col("v").alias("other_id"), F.round("jaccard", 6).alias("jaccard"), F.lit("pair").alias("relation")).unionByName(members)
 
