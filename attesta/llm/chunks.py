@@ -22,9 +22,9 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 #: The same, with the ends of lines, which stand between chunks.
 LINED_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|\n|[^\p{White_Space}\p{L}\p{N}]+")
 #: Bytes of text in a slice; bounds the memory of a worker, not the result.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Words kept in each of two generations of a worker's cache; only speed depends on it.
-CACHE = 200_000
+CACHE = 100_000
 
 #: (words as large_binary) -> their ids, flat, and the number of ids of each.
 WordEncoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]

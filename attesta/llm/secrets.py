@@ -1,13 +1,15 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Spans are found by pattern; the hashes of their values are aggregated by distinct repositories and
-owners over the whole corpus. A value that several owners hold is a widely copied example; one that stays with few
-owners looks live. The method adds spans: long mixed tokens that no base pattern
+owners over the whole corpus. A value that several owners hold, or two in several repositories, is a widely copied example; one that stays with few
+looks live. The method adds spans: long mixed tokens that no base pattern
 names, where their value stays with few owners.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,21 @@ KINDS = (
 MIXED = ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}", 0, 32)
 #: A value with at least so many owners is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: So is one with two owners in at least so many repositories; many repositories of one owner share what is that owner's.
+EXAMPLE_REPOS = 4
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,hash:string>>"
+#: Matches that are folded into one list; lists are put together afterwards, so that the work grows with the matches and not with their square.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def blocks(items: Column) -> Column:
+    """An array that isn't empty, in pieces of BLOCK."""
+    return F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, rank: int) -> Column:
@@ -42,9 +58,17 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, rank
         out = F.when(F.char_length(v) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    folded = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(SPAN))
+    def folded(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step)
+
+    def shifted(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["rank"].alias("rank"), (s["end"] + acc["at"]).alias("end"), s["kind"].alias("kind"), s["hash"].alias("hash")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    both = let(found, lambda f: F.zip_with(F.slice(pieces, 1, F.size(f)), f, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))))
+    each = let(both, lambda items: F.transform(blocks(items), folded))
+    placed = F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), shifted, lambda acc: F.flatten(acc["out"]))
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(SPAN))
 
 
 def found_spans(text: Column) -> Column:
@@ -63,7 +87,7 @@ def judged(rows: DataFrame) -> DataFrame:
     """rid and its spans with ``live``, of the rows (rid, owner, repo, spans) that have spans."""
     found = rows.where(F.size("spans") > 0).select("rid", "owner", "repo", F.explode("spans").alias("s")).select("rid", "owner", "repo", "s", F.col("s.hash").alias("hash"))
     frequency = ownership(found)
-    joined = found.join(frequency, "hash").withColumn("live", F.col("n_owners") < EXAMPLE_OWNERS)
+    joined = found.join(frequency, "hash").withColumn("live", (F.col("n_owners") < EXAMPLE_OWNERS) & ((F.col("n_owners") < 2) | (F.col("n_repos") < EXAMPLE_REPOS)))
     span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), "live", "n_owners", "n_repos", "n_found")
     return joined.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("judged"))
 
@@ -81,7 +105,8 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "s
     """One row for each row of ``df``: counts of base spans, their digest, all spans, and how many look live or copied.
 
     A null text is empty and has no spans; a null owner or repository counts as one called ''. Rows with equal keys are judged each on its
-    own. An empty table gives no rows; other columns are not read. Positions are code points, ends exclusive.
+    own. An empty table gives no rows; other columns are not read. Positions are code points, ends exclusive. A very long text is scanned whole; matches are folded
+    in blocks, so the work grows with their number.
     """
     rows = materialise(candidates(df, F.monotonically_increasing_id(), text, key, owner, repo), "secrets")
     base = F.filter("spans", lambda s: s["rank"] < len(KINDS))
@@ -95,7 +120,11 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "s
 
 
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with live-looking spans replaced by ``mark``; widely copied examples stay. Only rows with spans are joined."""
+    """``df`` with live-looking spans replaced by ``mark``; widely copied examples stay. Only rows with spans are joined.
+
+    Spans that overlap are replaced by one mark. A null text stays null; repeated rows are each marked; an empty table gives no rows; all other columns stay as they are, whatever
+    their names.
+    """
     store = RowStore.write(df, "redact")
     rid, columns = store.rid, df.columns
     rows = materialise(candidates(store.df, F.col(rid), text, key, owner, repo).where(F.size("spans") > 0), "secrets")
@@ -103,10 +132,19 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     spans, whole = fresh(store.df, "judged"), F.col(text)
     marked = store.df.join(live.select(F.col("rid").alias(rid), F.col("judged").alias(spans)), rid, "left")
 
-    def step(acc: Column, s: Column) -> Column:
-        ahead = s["start"] >= acc["at"]
-        out = F.when(ahead, F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def block_marked(acc: Column, block: Column) -> Column:
+        stop = F.greatest(acc["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def pieces(here: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                piece = F.concat(F.substring(here, a["at"] - acc["at"] + 1, s["start"] - a["at"]), F.lit(mark))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+
+            return F.aggregate(block, F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.array_join(a["out"], ""))
+
+        made = let(F.substring(whole, acc["at"] + 1, stop - acc["at"]), pieces)
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
 
-    folded = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.char_length(whole))))
-    return marked.select(*((F.when(F.col(spans).isNull(), whole).otherwise(folded) if c == text else F.col(c)).alias(c) for c in columns))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    folded = F.aggregate(blocks(F.col(spans)), start, block_marked, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.char_length(whole))))
+    return marked.select(*((F.when(F.size(F.coalesce(spans, F.array().cast(live.schema["judged"].dataType))) > 0, folded).otherwise(whole) if c == text else F.col(c)).alias(c) for c in columns))

@@ -51,11 +51,7 @@ def fingerprint(text: str | None) -> int:
     else:
         digest = xxhash.xxh64_intdigest
         values = [digest(a + b" " + b + b" " + c, SEED) for a, b, c in zip(words, words[1:], words[2:])]  # noqa: B905
-    h = np.array(values, dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 65536):
-        ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+    return folded(np.array(values, dtype="<u8"))
 
 
 @cache
@@ -217,42 +213,72 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def word_digests(df: DataFrame, columns: list, text) -> DataFrame:
-    """``columns`` of ``df`` with a 128-bit digest (d, e) of the words in order."""
+def folded(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero without hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), 65536):
+        ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
+def word_digests(df: DataFrame, columns: list, text, width: int) -> DataFrame:
+    """``columns`` of ``df`` with a 128-bit digest (d, e) of the words in order, and the fingerprint fp of the distinct ``width``-word shingles."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b"".join(hashlib.blake2b(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest() for t in b.column(b.num_columns - 1).to_pylist())
-            d = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=[*b.schema.names[:-1], "d", "e"])
+            raw, fp = [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                raw.append(hashlib.blake2b(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest())
+                fp.append(folded(shingles(t, width)))
+            d = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
+            made = [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "d", "e", "fp"])
 
     out = df.select(*columns, text.alias("text"))
-    schema = ", ".join(f"{c} {t}" for c, t in out.dtypes[:-1]) + ", d long, e long"
+    schema = ", ".join(f"{c} {t}" for c, t in out.dtypes[:-1]) + ", d long, e long, fp long"
     return out.mapInArrow(task, schema)
 
 
+def near_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v) of ids whose fingerprints are equal or were linked through Golay keys: candidates, a star for each bucket."""
+    named = materialise(classes.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "named")
+    equal = classes.join(named.where("n > 1"), "fp").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    left, right = named.select(F.col("fp").alias("u"), F.col("first").alias("a")), named.select(F.col("fp").alias("v"), F.col("first").alias("b"))
+    near = links(named).join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return equal.unionByName(near).distinct()
+
+
 def drop_similar(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, least: float = 0.8) -> DataFrame:
     """``df`` with one row of each group of texts linked, directly or not, by Jaccard ``least`` or more of their
     ``width``-word shingles: that of the least key, the first of several with it (null keys last).
 
-    No pair is missed (``operators.overlap``); each is counted on whole shingle sets. Texts without words, null ones too, are one group.
+    Fingerprints of the shingles that Golay keys bring together are verified first. Two bits of 64 do not reach Jaccard 0.8 (such pairs lie some ten bits
+    apart), so the groups that they leave apart are compared by prefix filtering (``operators.overlap``), which misses no pair; each link is counted on whole
+    shingle sets. Texts without words, null ones too, are one group. An empty table gives no rows; other columns stay as they are. A very long text is one worker's, whole.
     """
     store = RowStore.write(df, "similar")
-    rows = materialise(word_digests(store.df, [F.col(store.rid).alias("rid"), store.df[key].cast("long").alias("doc_id")], store.df[text]), "words")
+    rows = materialise(word_digests(store.df, [F.col(store.rid).alias("rid"), store.df[key].cast("long").alias("doc_id")], store.df[text], width), "words")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    classes = materialise(rows.groupBy("d", "e").agg(F.min(place).alias("place"), F.count("*").alias("n")), "classes")
+    classes = materialise(rows.groupBy("d", "e").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.min("fp").alias("fp")), "classes")
     name = store.rid
 
-    def sets(rows: pa.RecordBatch, control: list) -> pa.RecordBatch:
-        mine = rows.filter(pa.array(np.isin(rows.column(rows.schema.get_field_index(name)).to_numpy(), control[0])))
+    def sets(rows: pa.RecordBatch, control: list, named: bool) -> pa.RecordBatch:
+        ids, at, count = np.unique(control[0], return_index=True, return_counts=True)
+        mine = rows.filter(pa.array(np.isin(rows.column(rows.schema.get_field_index(name)).to_numpy(), ids)))
         made = [shingles(t, width) for t in mine.column(mine.schema.get_field_index(text)).to_pylist()]
-        ids = mine.column(mine.schema.get_field_index(name))
-        return pa.RecordBatch.from_arrays([ids, pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        return store.run(ids.select(F.col("id").alias("rid")), sets, "id long, s array<long>", [text])
-
-    roots = materialise(components(overlap.links(classes.select(F.col("place.rid").alias("id")), fetch, least, materialise, components)), "roots")
+        columns = [mine.column(mine.schema.get_field_index(name)), pa.array(made, pa.list_(pa.int64()))]
+        if named:
+            offsets = pa.array(np.append(at, len(control[0])), pa.int32())
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in control[1:3]]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "s", "e", "w"][: len(columns)])
+
+    def fetch(ids: DataFrame, each=lambda b: b, schema: str = "id long, s array<long>") -> DataFrame:
+        named = "e" in ids.columns
+        control = ids.select(F.col("id").alias("rid"), *([F.col("e").alias("a"), F.col("w").alias("b")] if named else []))
+        return store.run(control, lambda rows, control: each(sets(rows, control, named)) if len(control[0]) else None, schema, [text], batch=500)
+
+    known = materialise(overlap.verified(near_pairs(classes.select(F.col("place.rid").alias("id"), "fp")), fetch, least, materialise).select("u", "v"), "near")
+    roots = materialise(components(overlap.links(classes.select(F.col("place.rid").alias("id")), fetch, least, materialise, components, known)), "roots")
     firsts = classes.join(roots, F.col("place.rid") == F.col("node"), "left").select("d", "e", "place", "n", F.coalesce("root", "place.rid").alias("root"))
     kept = firsts.groupBy("root").agg(F.min("place").alias("kept"))
     several = materialise(firsts.join(kept, "root").where("n > 1 OR place.rid <> kept.rid").select("d", "e", F.col("kept.rid").alias("kept")), "several")
@@ -261,7 +287,8 @@ def drop_similar(df: DataFrame, text: str = "text", key: str = "doc_id", width:
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each component: that of the least key, the first of several with it (null keys last)."""
+    """``df`` with one row of each component of ``near_duplicates``: that of the least key, the first of several with it (null keys last).
+    Texts without words, null ones too, are one component; an empty table gives no rows; other columns stay as they are."""
     store = RowStore.write(df, "simhash")
     rows = materialise(fingerprints(store.df, [F.col(store.rid).alias("rid"), store.df[key].cast("long").alias("doc_id")], store.df[text]), "fingerprints")
     ranked = rows.select("rid", "fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("place"))

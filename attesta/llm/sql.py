@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality import LINE_LIMIT, NGRAM_LIMITS
-from .secrets import EXAMPLE_OWNERS
+from .secrets import EXAMPLE_OWNERS, EXAMPLE_REPOS
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -21,7 +21,7 @@ s AS MATERIALIZED ({found("assign", 0, ASSIGN, f"regexp_extract(m, '^{ASSIGN}$',
 UNION ALL {found("access", 1, "AKIA[A-Z0-9]+", "m", "length(m) >= 20")}
 UNION ALL {found("hex", 2, "[0-9a-f]{24,}", "m", "true")}
 UNION ALL {found("mixed", 3, "[A-Za-z0-9+/_-]{32,}", "m", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')")}),
-f AS (SELECT hash, count(DISTINCT owner) < {EXAMPLE_OWNERS} AS live FROM s GROUP BY hash),
+f AS (SELECT hash, count(DISTINCT owner) < {EXAMPLE_OWNERS} AND (count(DISTINCT owner) < 2 OR count(DISTINCT repo) < {EXAMPLE_REPOS}) AS live FROM s GROUP BY hash),
 g AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base,
   coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3 OR live), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM s JOIN f USING (hash) GROUP BY rid)

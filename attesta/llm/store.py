@@ -135,7 +135,8 @@ class RowStore:
                         yield from flush(older, held.pop(older))
                     held.setdefault(int(o), []).append(b.filter(pa.array(ordinals == o)))
             for o in sorted(held):
-                yield from flush(o, held[o])
+                yield from flush(o, held.pop(o))
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
         def flush(o: int, parts: list) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -62,6 +63,22 @@ def test_secrets(docs, rows):
         assert r.n_assign + r.n_access + r.n_hex == len([s for s in r.spans.split(",") if s and not s.startswith("mixed")])
 
 
+def test_many_matches(spark):
+    """Some thousand matches in one text: positions and marks as by brute force."""
+    text = " ".join(f"é{i} token={i:06d}x AKIA{i:016d} {RND.choice(WORDS)}" for i in range(3000))
+    df = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+    got = secrets.scan(df).first()
+    assert got.spans == brute.base_spans(text) and got.n_assign == got.n_access == 3000
+    assert secrets.redact(df).first().text == re.sub(r"token=\d{6}x|AKIA\d{16}", "[SECRET]", text)
+
+
+def test_repositories(spark):
+    """Two owners in four repositories copy an example; one owner in four repositories shares a secret of its own."""
+    rows = [(f"o{i % 2}", f"r{i}", "token=copied99") for i in range(4)] + [("o1", f"r{i}", "token=shared99") for i in range(4)] + [("o1", "r1", "token=twoown99"), ("o2", "r1", "token=twoown99")]
+    got = {(r.doc_id, r.n_live) for r in secrets.scan(spark.createDataFrame([(i, t, o, r) for i, (o, r, t) in enumerate(rows)], "doc_id long, text string, source string, lang string")).collect()}
+    assert got == {(i, int("copied" not in t)) for i, (*_, t) in enumerate(rows)}
+
+
 def test_redact(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns

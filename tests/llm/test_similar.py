@@ -48,9 +48,11 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("frequent", [50_000, 3])
-def test_groups(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, common, rounds", [(50_000, 32, 2), (3, 1, 0)])
+def test_groups(spark, monkeypatch, frequent, common, rounds):
     monkeypatch.setattr(overlap, "FREQUENT", frequent)
+    monkeypatch.setattr(overlap, "COMMON", common)
+    monkeypatch.setattr(overlap, "ROUNDS", rounds)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = corpus_pipeline.near_dedup(spark, df, "")
