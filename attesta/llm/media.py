@@ -107,6 +107,16 @@ def write_archives(df: DataFrame, path: str, text: str = "text", key: str = "doc
     return df.select(df[key].cast("long").alias("key"), df[text].alias("text")).mapInArrow(task, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def entry_at(index: pa.NativeFile, offset: int) -> int:
+    """Number of an index's entries whose header stands before ``offset``; entries are sorted by header."""
+    lo, hi = 0, index.size() // ENTRY.itemsize
+    while lo < hi:
+        mid = (lo + hi) // 2
+        entry = np.frombuffer(index.read_at(ENTRY.itemsize, mid * ENTRY.itemsize), dtype=ENTRY)[0]
+        lo, hi = (mid + 1, hi) if entry["header"] < offset else (lo, mid)
+    return lo
+
+
 class Range(InputPartition):
     def __init__(self, archive: str, start: int, end: int):
         self.archive, self.start, self.end = archive, start, end
@@ -146,8 +156,8 @@ class ArchiveReader(DataSourceReader):
         fs, inner = open_fs(self.path)
         archive = f"{inner}/{partition.archive}"
         with fs.open_input_file(archive.removesuffix(".tar") + ".idx") as f:
-            entries = np.frombuffer(f.read(), dtype=ENTRY)
-        mine = entries[(entries["header"] >= partition.start) & (entries["header"] < partition.end)]
+            first, last = (entry_at(f, x) for x in (partition.start, partition.end))
+            mine = np.frombuffer(f.read_at((last - first) * ENTRY.itemsize, first * ENTRY.itemsize), dtype=ENTRY)
         rows, held = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -208,7 +218,7 @@ def media_features(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """Store each text as a media member, read it back and measure it: SCHEMA, one row for each row of ``df``.
 
     A null text is empty, and an empty one is a row of spaces. Repeated rows give repeated members; a null key stays null; an empty table gives no rows; other columns
-    are not read. A member that stays unreadable fails the task, which Spark runs again.
+    are not read. A member that stays unreadable fails the task, which Spark runs again. A very long text is one member, which a worker holds whole.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
