@@ -3,10 +3,15 @@
 Elements have one global order, those that many sets hold last: first those that are frequent in a sample, then, counted over all sets, those that many prefixes
 hold. Of sets with Jaccard ``t`` or more, the first ``n - ceil(t n) + 1`` elements of both share one, so only these are joined, and the first one that they share
 leaves enough elements behind it in both. What the order is decides how much is compared, never which pairs are found.
+
+Pairs are first tried on *sketches*: the parities of the numbers of a set's elements in BITS cells. Two sets differ in at least as many elements as their sketches in
+bits, so a pair that is ruled out can't reach ``t``. The others are counted on whole sets.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,12 +21,18 @@ from pyspark.sql import functions as F
 
 #: Sets in the sample, and the most elements that it may name as frequent (driver and tasks hold them).
 SAMPLE, FREQUENT = 4_000, 50_000
-#: An element in more prefixes than this goes behind those of fewer.
-COMMON = 32
+#: An element in more prefixes than this goes behind those of fewer; they are counted over a share of all sets, one in so many.
+COMMON, COUNTED = 32, 8
+#: Up to so many such elements are listed (driver and tasks hold them); more are joined with the sets' elements.
+LISTED = 200_000
+#: Cells of a sketch.
+BITS = 2048
+SKETCH = [f"k{i}" for i in range(BITS // 64)]
+SKETCH_SCHEMA = "id long, n long, " + ", ".join(f"{k} long" for k in SKETCH)
 #: Rounds in which each set is compared with some of the sets that it shares elements with, before all of them are; and how many of them.
 ROUNDS, HUBS = 2, 3
 
-#: Cuts the lineage of a table.
+#: Cuts the lineage of a table; its attribute ``drop``, if there is one, removes such a table.
 Keep = Callable[[DataFrame, str], DataFrame]
 #: The sets (id long, s array<long> without repeats) that a table of ids names; or, with a function of their record batches and its schema, what it makes of
 #: them. Where the table has rows (id, e, w), several for an id, the batches have them as lists e and w.
@@ -52,9 +63,12 @@ def frequent(ids: DataFrame, fetch: Fetch) -> np.ndarray:
 
 
 
-def weights(b: pa.RecordBatch, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The weight w of each element of a batch's sets; 0 where e doesn't name it."""
+def weights(b: pa.RecordBatch, h: np.ndarray, row: np.ndarray, listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The weight of each element of a batch's sets, from a list (elements, sorted, and weights) or from the batch's e and w; 0 where none names it."""
     out = np.zeros(len(h), dtype=np.int64)
+    if len(listed[0]) and len(h):
+        at = np.minimum(np.searchsorted(listed[0], h), len(listed[0]) - 1)
+        out = np.where(listed[0][at] == h, listed[1][at], 0)
     if b.num_columns > 2:
         e, w = b.column(2), b.column(3)
         named, of = e.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(e.offsets.to_numpy()))
@@ -69,13 +83,29 @@ def elements(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(1).flatten(), pa.array(np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())))], names=["h", "id"])
 
 
-def prefixes(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
-    """(h, id, n, p): the elements of each set of n that stand first in the global order, with their place p there."""
+def sketch(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sketches, a row each, of sets of n elements that stand in h one after the other."""
+    cell = ((h.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(n)), n) * BITS + cell, minlength=len(n) * BITS) & 1
+    return np.packbits(odd.reshape(len(n), BITS).astype(bool), axis=1).view(np.int64)
+
+
+def sketches(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Sketches of a batch of sets (id, s): SKETCH_SCHEMA."""
+    n = np.diff(b.column(1).offsets.to_numpy()).astype(np.int64)
+    made = sketch(b.column(1).flatten().to_numpy(), n)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=["id", "n", *SKETCH])
+
+
+def prefixes(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> tuple[DataFrame, Callable[[], None]]:
+    """(h, id, n, p): the elements of each set of n that stand first in the global order, with their place p there; and what removes the table behind them."""
     late = frequent(ids, fetch)
     by_value = np.argsort(late, kind="stable")
     values, ranks = late[by_value], by_value + 1
 
-    def first(b: pa.RecordBatch) -> pa.RecordBatch:
+    nothing = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def first(b: pa.RecordBatch, listed: tuple = nothing) -> pa.RecordBatch:
         s = b.column(1)
         h, n = s.flatten().to_numpy(), np.diff(s.offsets.to_numpy())
         rank = np.zeros(len(h), dtype=np.int64)
@@ -83,7 +113,7 @@ def prefixes(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
             at = np.minimum(np.searchsorted(values, h), len(values) - 1)
             rank = np.where(values[at] == h, ranks[at], 0)
         row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((h, weights(b, h, row), rank, row))
+        order = np.lexsort((h, weights(b, h, row, listed), rank, row))
         place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         chosen = place < (n - np.ceil(n * t - 1e-9).astype(np.int64) + 1)[row]
         some, place = order[chosen], place[chosen]
@@ -91,46 +121,96 @@ def prefixes(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
 
     schema = "h long, id long, n long, p long, late boolean"
     rows = keep(fetch(ids, first, schema), "prefixes")
-    common = keep(rows.where("not late").groupBy("h").agg(F.count("*").alias("w")).where(F.col("w") > COMMON), "common")
+    counted = rows.where("not late").where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0)  # for the order only
+    common = keep(counted.groupBy("h").agg(F.count("*").alias("w")).where(F.col("w") * COUNTED > COMMON), "common")
     touched = keep(rows.join(common, "h", "left_semi").select("id").distinct(), "touched")
-    named = keep(fetch(touched, elements, "h long, id long").join(common, "h").select("id", F.col("h").alias("e"), "w"), "named")
-    return rows.join(touched, "id", "left_anti").unionByName(fetch(named, first, schema)).select("h", "id", "n", "p")
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by the first column, those whose value another row has."""
-    last, open_run = None, False  # the row that may still begin a run, or the run's value that goes on
+    if common.count() <= LISTED:
+        table = common.orderBy("h").toArrow()
+        listed = table.column("h").to_numpy(), table.column("w").to_numpy()
+        again = fetch(touched, lambda b: first(b, listed), schema)
+    else:
+        named = keep(fetch(touched, elements, "h long, id long").hint("merge").join(common, "h").select("id", F.col("h").alias("e"), "w"), "named")
+        again = fetch(named, first, schema)
+    return rows.join(touched, "id", "left_anti").unionByName(again).select("h", "id", "n", "p"), lambda: getattr(keep, "drop", lambda _: None)(rows)
+
+
+#: Sets of one element up to which all their pairs are tried at once, and rows of one element that are held until its last.
+FEW, HELD = 8, 10_000
+
+
+def alive(b: pa.RecordBatch, t: float) -> pa.RecordBatch:
+    """Of whole groups of one element (h, id, n, p, sorted by h), the rows that can reach t with another one, and all rows of groups of more than FEW."""
+    h, n, p = (b.column(i).to_numpy() for i in (0, 2, 3))
+    keep = np.zeros(len(h), dtype=bool)
+    for d in range(1, min(FEW, len(h))):
+        at = np.flatnonzero(h[d:] == h[:-d])
+        x, y = n[at], n[at + d]
+        good = at[(np.minimum(x, y) >= np.maximum(x, y) * t - 1e-9) & (np.minimum(x - p[at], y - p[at + d]) >= (x + y) * (t / (1 + t)) - 1e-9)]
+        keep[good] = keep[good + d] = True
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    sizes = np.diff(np.append(starts, len(h)))
+    return b.filter(pa.array(keep | np.repeat(sizes > FEW, sizes)))
+
+
+def runs(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """``alive`` of rows sorted by the first column; groups may go over batches."""
+    held, large = None, None  # rows of the last element so far; an element whose rows are given out as they come
     for b in batches:
-        if not b.num_rows:
-            continue
-        if last is not None:
-            b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            held = None
         h = b.column(0).to_numpy()
-        same = h[1:] == h[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        if last is not None and open_run:
-            keep[0] = False  # given out already
-        open_run = bool(same[-1]) if len(same) else open_run and last is not None
-        last = b.slice(b.num_rows - 1)
-        out = b.filter(pa.array(keep))
-        if out.num_rows:
-            yield out
+        if large is not None:
+            more = int((h == large).sum())
+            if more:
+                yield b.slice(0, more)
+            b, h = b.slice(more), h[more:]
+        if not len(h):
+            continue
+        large = None
+        last = int(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[-1])
+        if last:
+            yield alive(b.slice(0, last), t)
+        held = b.slice(last)
+        if held.num_rows > HELD:
+            yield held
+            held, large = None, h[-1]
+    if held is not None:
+        yield alive(held, t)
 
 
 def shared(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
-    """Prefix elements (h, id, n, p) that two sets or more have."""
+    """Prefix elements (h, id, n, p) that another set has with which a set can reach t."""
     width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes(ids, fetch, t, keep).repartition(width, "h").sortWithinPartitions("h")
-    return keep(dealt.mapInArrow(runs, "h long, id long, n long, p long"), "shared")
+    rows, drop = prefixes(ids, fetch, t, keep)
+    dealt = rows.repartition(width, "h").sortWithinPartitions("h")
+    out = keep(dealt.mapInArrow(lambda batches: runs(batches, t), "h long, id long, n long, p long"), "shared")
+    drop()
+    return out
+
+
+def partners(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A set once for each id that it is to be compared with (e)."""
+    at = pa.array(np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy())))
+    return pa.RecordBatch.from_arrays([b.column(2).flatten(), b.column(0).take(at), b.column(1).take(at)], names=["u", "v", "b"])
+
+
+def possible(pairs: DataFrame, t: float, brief: DataFrame) -> DataFrame:
+    """(u, v, apart) of the pairs that their sketches (``brief``: SKETCH_SCHEMA, of all sets) don't rule out, with the bits in which these differ."""
+    left = brief.select(F.col("id").alias("u"), F.col("n").alias("nu"), *(F.col(k).alias(f"a{k}") for k in SKETCH))
+    right = brief.select(F.col("id").alias("v"), F.col("n").alias("nv"), *(F.col(k).alias(f"b{k}") for k in SKETCH))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in SKETCH))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", apart.alias("apart"))
+    return both.where(F.col("apart") <= (F.col("nu") + F.col("nv")) * ((1 - t) / (1 + t)) + 1e-9).select("u", "v", "apart")
 
 
 def verified(pairs: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
     """(u, v, jaccard) of the pairs whose Jaccard, counted on whole sets, is t or more."""
     pairs = keep(pairs.select("u", "v"), "pairs")
-    sets = keep(fetch(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()), "compared")
-    left = sets.select(F.col("id").alias("u"), F.col("s").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("x"), (F.size("a") + F.size("b")).alias("n"))
+    # no size is known of what comes out of Python, so neither side may be broadcast
+    left = fetch(pairs.select(F.col("u").alias("id")).distinct()).select(F.col("id").alias("u"), F.col("s").alias("a"))
+    right = fetch(pairs.select(F.col("v").alias("id"), F.col("u").alias("e"), F.lit(0).cast("long").alias("w")), partners, "u long, v long, b array<long>")
+    both = right.join(left.hint("merge"), "u").select("u", "v", F.size(F.array_intersect("a", "b")).alias("x"), (F.size("a") + F.size("b")).alias("n"))
     return both.select("u", "v", (F.col("x") / (F.col("n") - F.col("x"))).alias("jaccard")).where(F.col("jaccard") >= t)
 
 
@@ -154,22 +234,29 @@ def candidates(rows: DataFrame, t: float) -> DataFrame:
 
 def similar(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
     """(u, v, jaccard), u < v, of all pairs of the named sets with Jaccard t or more."""
-    return verified(candidates(shared(ids, fetch, t, keep).withColumn("part", F.col("id")), t), fetch, t, keep)
+    brief = keep(fetch(ids, sketches, SKETCH_SCHEMA), "sketches")
+    pairs = candidates(shared(ids, fetch, t, keep).withColumn("part", F.col("id")), t)
+    return verified(possible(pairs, t, brief), fetch, t, keep)
 
 
-def hubs(rows: DataFrame, t: float, seed: int) -> DataFrame:
-    """(u, v): each set v (rows as for ``candidates``) with the set of another part that, drawn at random among an element's sets, shares most with it."""
-    drawn = rows.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min_by(F.struct("id", "n", "p", "part"), F.xxhash64("id", F.lit(seed))).alias("hub")).where("a <> b")
-    drawn = drawn.select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"), F.col("hub.p").alias("pu"), F.col("hub.part").alias("of"))
-    some = rows.join(drawn, "h").where("part <> of").where(reaching(t, "n", "p", "nu", "pu"))
-    return some.groupBy("id", "u").agg(F.count("*").alias("m")).groupBy("id").agg(F.max_by("u", F.struct("m", "u")).alias("u")).select("u", F.col("id").alias("v"))
+def hubs(rows: DataFrame, t: float, turn: int) -> DataFrame:
+    """(u, v): sets v (rows as for ``candidates``) with the sets u of other parts that share most with them, of those that are drawn from an element's sets: HUBS
+    each, at random, but for the last among those where the element stands first. These have the fewest rare elements, so they are nearest to the others."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(width, "h")  # both sides of the join read this shuffle
+    one = lambda k: F.min_by(F.struct(F.lit(k).alias("k"), F.col("id").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("part").alias("of")), F.struct(F.col("p") if k < HUBS - 1 else F.lit(0), F.xxhash64("id", F.lit(turn * HUBS + k))))
+    drawn = rows.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.array(*map(one, range(HUBS))).alias("hubs")).where("a <> b").select("h", "hubs")
+    some = rows.join(drawn, "h").select("id", "n", "p", "part", F.explode("hubs").alias("hub")).select("id", "n", "p", "part", "hub.*")
+    some = some.where("part <> of").where(reaching(t, "n", "p", "nu", "pu"))
+    best = some.groupBy("id", "k", "u").agg(F.count("*").alias("m")).groupBy("id", "k").agg(F.max_by("u", F.struct("m", "u")).alias("u"))
+    return best.select("u", F.col("id").alias("v")).distinct()
 
 
-def links(ids: DataFrame, fetch: Fetch, t: float, keep: Keep, components: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+def links(ids: DataFrame, fetch: Fetch, t: float, keep: Keep, components: Callable[[DataFrame], DataFrame], brief: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(u, v) whose components are those of all pairs with Jaccard t or more.
 
-    Large groups are first drawn together: each set is compared with a few of those that it shares elements with. After
-    that, only pairs of different components are. ``known`` are links that were verified before.
+    Large groups are first drawn together: each set is compared with the nearest of a few that it shares elements with. After
+    that, only pairs of different components are. ``brief`` has all sets' sketches; ``known`` are links that were verified before.
     """
     rows, found = shared(ids, fetch, t, keep), known
 
@@ -180,11 +267,7 @@ def links(ids: DataFrame, fetch: Fetch, t: float, keep: Keep, components: Callab
         return keep(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root"), "parted")
 
     for turn in range(ROUNDS):
-        parts = parted()
-        stars = [hubs(parts, t, turn * HUBS + k) for k in range(HUBS)]
-        every = stars[0]
-        for more in stars[1:]:
-            every = every.unionByName(more)
-        near = keep(verified(every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), fetch, t, keep).select("u", "v"), "stars")
+        nearest = possible(hubs(parted(), t, turn), t, brief).groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u"))
+        near = keep(verified(nearest, fetch, t, keep).select("u", "v"), "stars")
         found = near if found is None else found.unionByName(near)
-    return found.unionByName(verified(candidates(parted(), t), fetch, t, keep).select("u", "v"))
+    return found.unionByName(verified(possible(candidates(parted(), t), t, brief), fetch, t, keep).select("u", "v"))
