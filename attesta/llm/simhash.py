@@ -222,20 +222,24 @@ def folded(h: np.ndarray) -> int:
 
 
 def word_digests(df: DataFrame, columns: list, text, width: int) -> DataFrame:
-    """``columns`` of ``df`` with a 128-bit digest (d, e) of the words in order, and the fingerprint fp of the distinct ``width``-word shingles."""
+    """``columns`` of ``df`` with a 128-bit digest (d, e) of the words in order, and of the distinct ``width``-word shingles the fingerprint fp, the number n and the sketch."""
+
+    more = ["d", "e", "fp", "n", *overlap.SKETCH]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, fp = [], []
+            raw, fp, n, brief = [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 raw.append(hashlib.blake2b(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest())
-                fp.append(folded(shingles(t, width)))
+                s = shingles(t, width)
+                fp.append(folded(s)), n.append(len(s)), brief.append(overlap.sketch(s, np.array([len(s)])))
             d = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
-            made = [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "d", "e", "fp"])
+            k = np.concatenate(brief) if brief else np.zeros((0, len(overlap.SKETCH)), dtype=np.int64)
+            made = [pa.array(x) for x in (d[:, 0].copy(), d[:, 1].copy(), np.array(fp, dtype=np.uint64).view(np.int64), np.array(n, dtype=np.int64), *(c.copy() for c in k.T))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], *more])
 
     out = df.select(*columns, text.alias("text"))
-    schema = ", ".join(f"{c} {t}" for c, t in out.dtypes[:-1]) + ", d long, e long, fp long"
+    schema = ", ".join(f"{c} {t}" for c, t in out.dtypes[:-1]) + "".join(f", {c} long" for c in more)
     return out.mapInArrow(task, schema)
 
 
@@ -244,7 +248,7 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     named = materialise(classes.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "named")
     equal = classes.join(named.where("n > 1"), "fp").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
     left, right = named.select(F.col("fp").alias("u"), F.col("first").alias("a")), named.select(F.col("fp").alias("v"), F.col("first").alias("b"))
-    near = links(named).join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    near = materialise(links(named), "near").join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     return equal.unionByName(near).distinct()
 
 
@@ -259,7 +263,9 @@ def drop_similar(df: DataFrame, text: str = "text", key: str = "doc_id", width:
     store = RowStore.write(df, "similar")
     rows = materialise(word_digests(store.df, [F.col(store.rid).alias("rid"), store.df[key].cast("long").alias("doc_id")], store.df[text], width), "words")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    classes = materialise(rows.groupBy("d", "e").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.min("fp").alias("fp")), "classes")
+    brief = F.min_by(F.struct("fp", "n", *overlap.SKETCH), "rid")  # rows of one class have equal ones
+    classes = materialise(rows.groupBy("d", "e").agg(F.min(place).alias("place"), F.count("*").alias("rows"), brief.alias("brief")).select("d", "e", "place", "rows", "brief.*"), "classes")
+    sketches = classes.select(F.col("place.rid").alias("id"), "n", *overlap.SKETCH)
     name = store.rid
 
     def sets(rows: pa.RecordBatch, control: list, named: bool) -> pa.RecordBatch:
@@ -275,13 +281,14 @@ def drop_similar(df: DataFrame, text: str = "text", key: str = "doc_id", width:
     def fetch(ids: DataFrame, each=lambda b: b, schema: str = "id long, s array<long>") -> DataFrame:
         named = "e" in ids.columns
         control = ids.select(F.col("id").alias("rid"), *([F.col("e").alias("a"), F.col("w").alias("b")] if named else []))
-        return store.run(control, lambda rows, control: each(sets(rows, control, named)) if len(control[0]) else None, schema, [text], batch=500)
+        return store.run(control, lambda rows, control: each(sets(rows, control, named)) if len(control[0]) else None, schema, [text], batch=500, every=False)
 
-    known = materialise(overlap.verified(near_pairs(classes.select(F.col("place.rid").alias("id"), "fp")), fetch, least, materialise).select("u", "v"), "near")
-    roots = materialise(components(overlap.links(classes.select(F.col("place.rid").alias("id")), fetch, least, materialise, components, known)), "roots")
-    firsts = classes.join(roots, F.col("place.rid") == F.col("node"), "left").select("d", "e", "place", "n", F.coalesce("root", "place.rid").alias("root"))
+    golay = overlap.possible(near_pairs(classes.select(F.col("place.rid").alias("id"), "fp")), least, sketches)
+    known = materialise(overlap.verified(golay, fetch, least, materialise).select("u", "v"), "near")
+    roots = materialise(components(overlap.links(classes.select(F.col("place.rid").alias("id")), fetch, least, materialise, components, sketches, known)), "roots")
+    firsts = classes.join(roots, F.col("place.rid") == F.col("node"), "left").select("d", "e", "place", "rows", F.coalesce("root", "place.rid").alias("root"))
     kept = firsts.groupBy("root").agg(F.min("place").alias("kept"))
-    several = materialise(firsts.join(kept, "root").where("n > 1 OR place.rid <> kept.rid").select("d", "e", F.col("kept.rid").alias("kept")), "several")
+    several = materialise(firsts.join(kept, "root").where("rows > 1 OR place.rid <> kept.rid").select("d", "e", F.col("kept.rid").alias("kept")), "several")
     dropped = rows.join(several, ["d", "e"]).where("rid <> kept").select("rid", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     return without(store, dropped, df)
 

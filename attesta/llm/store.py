@@ -52,6 +52,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a table that ``materialise`` wrote, when nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, inner = open_fs(folder)
+        fs.delete_dir(inner)
+
+
+materialise.drop = drop
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that clashes with none of ``df``'s, compared as Spark compares."""
     have = {c.lower() for c in df.columns}
@@ -94,19 +104,20 @@ class RowStore:
         out.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
         return cls(spark, path, out, rid)
 
-    def run(self, control: DataFrame | None, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema, columns: list[str] | None = None, batch: int = 2000) -> DataFrame:
+    def run(self, control: DataFrame | None, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema, columns: list[str] | None = None, batch: int = 2000, every: bool = True) -> DataFrame:
         """Apply ``fn(rows, control)`` to the batches of every segment.
 
         ``rows`` has ``columns`` and the row id; ``control`` is a list of numpy arrays rid, a, b, c, d for those rows,
         sorted (columns of longs; absent ones are 0). Control rows of one segment meet in one task; they are bounded
-        by the segment's size. Every segment is read, with control rows or without.
+        by the segment's size. Every segment is read, with control rows or without, or only those with some.
         """
         tasks = max(1, min(self.segments, MOST_TASKS))
         none = [F.lit(None).cast("long").alias("rid"), *(F.lit(0).cast("long").alias(c) for c in CONTROL)]
         heads = self.spark.range(self.segments).select(F.col("id").cast("int").alias("segment"), *none)
         if control is not None:
             have = [F.col(c).cast("long").alias(c) if c in control.columns else F.lit(0).cast("long").alias(c) for c in CONTROL]
-            heads = heads.unionByName(control.select(F.shiftright("rid", 33).cast("int").alias("segment"), "rid", *have))
+            named = control.select(F.shiftright("rid", 33).cast("int").alias("segment"), "rid", *have)
+            heads = heads.unionByName(named) if every else named
         dealt = heads.repartitionById(tasks, F.col("segment") % tasks).sortWithinPartitions("segment", "rid", *CONTROL)
         path, digits, ending, present, rid = self.path, self.digits, self.ending, np.packbits(self.present), self.rid
         take = None if columns is None else [*dict.fromkeys([*columns, rid])]

@@ -48,8 +48,9 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("frequent, common, rounds", [(50_000, 32, 2), (3, 1, 0)])
-def test_groups(spark, monkeypatch, frequent, common, rounds):
+@pytest.mark.parametrize("frequent, common, listed, rounds", [(50_000, 32, 200_000, 2), (3, 1, 0, 0), (3, 1, 200_000, 1)])
+def test_groups(spark, monkeypatch, frequent, common, listed, rounds):
+    monkeypatch.setattr(overlap, "LISTED", listed)
     monkeypatch.setattr(overlap, "FREQUENT", frequent)
     monkeypatch.setattr(overlap, "COMMON", common)
     monkeypatch.setattr(overlap, "ROUNDS", rounds)
@@ -75,9 +76,26 @@ def test_table(spark):
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
-def test_runs(size):
+@pytest.mark.parametrize("held", [2, 100])
+def test_runs(monkeypatch, size, held):
     import pyarrow as pa
 
-    h = [1, 2, 2, 3, 4, 4, 4, 4, 4, 5, 6, 6]
-    batches = [pa.record_batch({"h": h[i : i + size], "id": list(range(i, min(i + size, len(h))))}) for i in range(0, len(h), size)]
-    assert [x for b in overlap.runs(iter(batches)) for x in b.column("id").to_pylist()] == [i for i, x in enumerate(h) if h.count(x) > 1]
+    monkeypatch.setattr(overlap, "HELD", held)
+    h = [1, 2, 2, 3, 4, 4, 4, 4, 4, 5, 6, 6, 7, 7, *[8] * 12, 9]
+    n = [10] * len(h)
+    n[-2 - 12] = 99  # the second 7 is too large for the first
+    batches = [pa.record_batch({"h": h[i : i + size], "id": list(range(i, min(i + size, len(h)))), "n": n[i : i + size], "p": [0] * len(h[i : i + size])}) for i in range(0, len(h), size)]
+    got = [x for b in overlap.runs(iter(batches), 0.8) for x in b.column("id").to_pylist()]
+    assert got == [i for i, x in enumerate(h) if h.count(x) > 1 and x != 7]
+
+
+def test_sketch_bound():
+    """Sketches never differ in more bits than the sets in elements."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(0, 400)) * 0x9E3779B97F4A7C1) for _ in range(40)]
+    made = overlap.sketch(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for i, j in combinations(range(len(sets)), 2):
+        assert np.bitwise_count(made[i].view(np.uint64) ^ made[j].view(np.uint64)).sum() <= len(np.setxor1d(sets[i], sets[j]))
+    assert (made[0] == overlap.sketch(sets[0], np.array([len(sets[0])]))).all()
