@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; a folder of our own is set only where there is none."""
+    """Cut the lineage in the session's checkpoint folder; a local session without one gets a folder of our own."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attesta-"))
     return df.checkpoint()
 
 

@@ -401,8 +401,11 @@ def family_labels(t):
 
 
 def findings(tables: dict[str, DataFrame], only: set[str] | None = None) -> DataFrame:
-    """All rules' findings, or those of the rule functions named in ``only``. Ledgers without any finding give no rows."""
-    t = Relations(tables)
+    """All rules' findings, or those of the rule functions named in ``only``. Ledgers without any finding give no rows.
+
+    The flattened tables are written once in the checkpoint folder, so the rules don't parse the ledgers again.
+    """
+    t = Relations({name: graph._settled(df) for name, df in tables.items()})
     out: DataFrame | None = None
     for name, (ids, fn) in RULES.items():
         if only and name not in only:

@@ -381,20 +381,6 @@ def word_char_counts(spark, sf):
 SHINGLES = r"list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))"
 
 
-@register(f"""WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), s AS (SELECT doc_id, {SHINGLES} AS s, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_id FROM w WHERE len(w) >= 5)
-SELECT a.doc_id, b.doc_id AS next_id, round(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.next_id""")
-def sibling_jaccard(spark, sf):
-    """Five-word shingle overlap of each document with the next of its source."""
-    w = tx.words(F.lower("text"))
-    d = table(spark, sf, "documents").select("doc_id", "source", w.alias("w")).where("size(w) >= 5")
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    d = d.select("doc_id", "source", F.transform(shingles, lambda s: F.xxhash64(s)).alias("s"))
-    order = Window.partitionBy("source").orderBy("doc_id")
-    both = F.size(F.array_intersect("s", "next_s"))
-    d = d.withColumns({"next_id": F.lead("doc_id").over(order), "next_s": F.lead("s").over(order)}).where("next_id IS NOT NULL")
-    return d.select("doc_id", "next_id", F.round(both.cast("double") / (F.size("s") + F.size("next_s") - both), 6).alias("jaccard"))
-
-
 @register(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), s AS (SELECT doc_id, list_sort({SHINGLES}) AS s FROM w WHERE len(w) >= 5), c AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS first FROM s),
 t AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM c WHERE doc_id = first), p AS (SELECT a.doc_id, b.doc_id AS other_id, CAST(count(*) AS DOUBLE) / (a.n + b.n - count(*)) AS jaccard FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n)
 SELECT doc_id, other_id, round(jaccard, 6) AS jaccard, 'pair' AS relation FROM p WHERE jaccard >= 0.35 UNION ALL SELECT first, doc_id, 1.0, 'member' FROM c WHERE doc_id <> first""")
@@ -418,17 +404,6 @@ def same_shape(spark, sf):
     return d.where("blocks >= 3").groupBy("blocks", "sentences").agg(F.count("*").alias("docs")).where("docs >= 2")
 
 
-@register(f"""WITH k AS (SELECT doc_id, source, list_transform({BLOCKS}, lambda p: length(p) > 200) AS k FROM documents), n AS (SELECT doc_id, k, lead(k) OVER w AS nk, lead(doc_id) OVER w AS next_id FROM k WHERE len(k) >= 3 WINDOW w AS (PARTITION BY source, len(k) ORDER BY doc_id))
-SELECT doc_id, next_id, round(CAST(len(list_filter(range(1, len(k) + 1), lambda i: k[i] = nk[i])) AS DOUBLE) / len(k), 6) AS agreement FROM n WHERE next_id IS NOT NULL""")
-def same_skeleton(spark, sf):
-    """Share of equal block kinds of each document and the next of its source with as many blocks."""
-    d = table(spark, sf, "documents").select("doc_id", "source", F.transform(newline_blocks(F.col("text")), lambda p: F.char_length(p) > 200).alias("k")).where("size(k) >= 3")
-    w = Window.partitionBy("source", F.size("k")).orderBy("doc_id")
-    d = d.withColumns({"nk": F.lead("k").over(w), "next_id": F.lead("doc_id").over(w)}).where("next_id IS NOT NULL")
-    equal = F.size(F.filter(F.zip_with("k", "nk", lambda a, b: a == b), lambda e: e))
-    return d.select("doc_id", "next_id", F.round(equal.cast("double") / F.size("k"), 6).alias("agreement"))
-
-
 @register(f"""WITH k AS (SELECT doc_id, list_transform({BLOCKS}, lambda p: length(p) > 200) AS k FROM documents), c AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY k) AS first FROM k WHERE len(k) >= 3), f AS (SELECT doc_id, k FROM c WHERE doc_id = first),
 p AS (SELECT a.doc_id, b.doc_id AS other_id, len(list_filter(range(1, len(a.k) + 1), lambda i: a.k[i] = b.k[i])) AS same, len(a.k) AS n FROM f a JOIN f b ON len(a.k) = len(b.k) AND a.doc_id < b.doc_id)
 SELECT doc_id, other_id, round(CAST(same AS DOUBLE) / n, 6) AS agreement, 'pair' AS relation FROM p WHERE same * 5 >= n * 4 UNION ALL SELECT first, doc_id, 1.0, 'member' FROM c WHERE doc_id <> first""")
