@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             found = jdir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="attesta-")
             spark.sparkContext.setCheckpointDir(found)
