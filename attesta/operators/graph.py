@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,15 +62,55 @@ def closure(edges: DataFrame) -> DataFrame:
         found = _settled(found.unionByName(frontier))
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """node: all nodes on a directed cycle. Nodes without an edge in or out are trimmed until none is left to trim; the rest, which holds all cycles, is closed."""
-    edges = _settled(edges.select("src", "dst").distinct())
-    n = edges.count()
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges in which each run of nodes with one edge in and one out has become one edge; (node, u, w) of the runs' nodes with that edge; and (node, label) of
+    rings of such nodes alone, labelled by their least. Pointers jump to their targets' targets, so rounds grow with the logarithm of the longest run."""
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("prev")).where("n = 1")
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("m"), F.min("dst").alias("at")).where("m = 1")
+    inner = _settled(ins.join(outs, "node").select("node", "prev", "at"))
+    names = inner.select(F.col("node").alias("name"))
+    # least: of the nodes behind ``node`` up to ``at``, so it is the node itself only on a ring; open: whether ``at`` belongs to the run too
+    state = inner.join(names, inner.at == names.name, "left").select("node", F.col("node").alias("last"), "at", F.col("at").alias("least"), F.col("name").isNotNull().alias("open"))
     while True:
+        state = _settled(state)
+        rings = state.where("node = least").select(F.col("node").alias("ring"))
+        if state.where("open").join(rings, F.col("least") == F.col("ring"), "left_anti").isEmpty():
+            break
+        ahead = state.select(*(F.col(c).alias(f"{c}2") for c in state.columns))
+        step = state.where("open").join(ahead, F.col("at") == F.col("node2"))
+        moved = step.select("node", F.col("last2").alias("last"), F.col("at2").alias("at"), F.least("least", "least2").alias("least"), F.col("open2").alias("open"))
+        state = state.where("NOT open").unionByName(moved)
+    runs = state.where("NOT open")
+    heads = inner.join(names, inner.prev == names.name, "left_anti").select("node", F.col("prev").alias("u"))
+    heads = _settled(runs.join(heads, "node").select("last", "u", F.col("at").alias("w")))
+    outer = edges.join(names, edges.src == names.name, "left_anti").join(names, F.col("dst") == F.col("name"), "left_anti").select("src", "dst")
+    short = _settled(outer.unionByName(heads.select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct())
+    return short, runs.select("node", "last").join(heads, "last").select("node", "u", "w"), state.where("open").select("node", F.col("least").alias("label"))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """node: all nodes on a directed cycle. Nodes without an edge in or out are trimmed and runs of nodes contracted until neither changes anything; the rest, which
+    holds all cycles but the rings found on the way, is closed. A run's nodes are on a cycle if its edge is, so if both ends have one label: the least node of those on cycles with them."""
+    edges = _settled(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    n, runs, found = edges.count(), [], []
+    while n:
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = _settled(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = kept.count()
+        edges, inner, rings = contracted(kept)
+        runs.append(inner)
+        found.append(_settled(rings))
+        m = edges.count()
         if m == n:
             break
-        edges, n = kept, m
-    return closure(edges).where("src = dst").select(F.col("src").alias("node")).distinct()
+        n = m
+    if n:
+        reach = closure(edges)
+        both = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
+        found.append(_settled(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label"))))
+    if not found:
+        return edges.select(F.col("src").alias("node"))
+    labels = functools.reduce(DataFrame.unionByName, found)
+    for inner in reversed(runs):
+        ends = inner.join(labels.select(F.col("node").alias("u"), "label"), "u").join(labels.select(F.col("node").alias("w"), F.col("label").alias("other")), "w")
+        labels = labels.unionByName(_settled(ends.where("label = other").select("node", "label")))
+    return labels.select("node")
