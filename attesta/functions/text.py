@@ -55,6 +55,11 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(WORDISH), F.lit(0))
 
 
+def spaced_words(x: Column) -> Column:
+    """``words``, with spaces between them and perhaps at the ends."""
+    return F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " ")
+
+
 def word_count(x: Column) -> Column:
     return F.regexp_count(x, F.lit(WORD))
 

@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; a local session without one gets a folder of our own."""
-    spark: SparkSession = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local session without one gets a folder of our own."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attesta-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the session's checkpoint folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage through a compressed table in the session's checkpoint folder."""
+    path = f"{_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component of undirected links (u, v): the least node that is reachable.
 

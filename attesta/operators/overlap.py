@@ -11,6 +11,9 @@ bits, so a pair that is ruled out can't reach ``t``. The others are counted on w
 from __future__ import annotations
 
 import functools
+import gc
+import hashlib
+import itertools
 import operator
 from collections.abc import Callable, Iterator
 
@@ -39,20 +42,6 @@ Keep = Callable[[DataFrame, str], DataFrame]
 Fetch = Callable[..., DataFrame]
 
 
-def stored(sets: DataFrame) -> Fetch:
-    """Fetch from a table."""
-
-    def fetch(ids: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
-        if "e" in ids.columns:
-            lists = ids.groupBy("id").agg(F.collect_list(F.struct("e", "w")).alias("x"))
-            some = sets.join(lists.select("id", F.col("x.e").alias("e"), F.col("x.w").alias("w")), "id").select("id", "s", "e", "w")
-        else:
-            some = sets.join(ids, "id", "left_semi").select("id", "s")
-        return some if each is None else some.mapInArrow(lambda batches: (each(b.slice(at, 500)) for b in batches for at in range(0, b.num_rows, 500)), schema)
-
-    return fetch
-
-
 def frequent(ids: DataFrame, fetch: Fetch) -> np.ndarray:
     """Elements that three sets or more of a sample hold, from the rarest on."""
     share = max(1, ids.count() // SAMPLE)
@@ -181,14 +170,19 @@ def runs(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch
 
 def shared(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
     """Prefix elements (h, id, n, p) that another set has with which a set can reach t."""
-    width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, drop = prefixes(ids, fetch, t, keep)
-    dealt = rows.repartition(width, "h").sortWithinPartitions("h")
-    out = keep(dealt.mapInArrow(lambda batches: runs(batches, t), "h long, id long, n long, p long"), "shared")
+    out = matched(rows, t, keep)
     drop()
     return out
 
 
+def matched(rows: DataFrame, t: float, keep: Keep) -> DataFrame:
+    """Of prefix elements (h, id, n, p), those that another set has with which a set can reach t."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(width, "h").sortWithinPartitions("h")
+    return keep(dealt.mapInArrow(lambda batches: runs(batches, t), "h long, id long, n long, p long"), "shared")
+
+
 def partners(b: pa.RecordBatch) -> pa.RecordBatch:
     """A set once for each id that it is to be compared with (e)."""
     at = pa.array(np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy())))
@@ -232,11 +226,149 @@ def candidates(rows: DataFrame, t: float) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def similar(ids: DataFrame, fetch: Fetch, t: float, keep: Keep) -> DataFrame:
-    """(u, v, jaccard), u < v, of all pairs of the named sets with Jaccard t or more."""
-    brief = keep(fetch(ids, sketches, SKETCH_SCHEMA), "sketches")
-    pairs = candidates(shared(ids, fetch, t, keep).withColumn("part", F.col("id")), t)
-    return verified(possible(pairs, t, brief), fetch, t, keep)
+#: Elements that a task packs at once, and about as many to a bucket.
+PACKED, BUCKET = 2_000_000, 4_000_000
+PACKED_SCHEMA = "bucket int, k long, m long, h binary, doc binary, ids binary, ns binary"
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of ``width``-word shingles of words with spaces between them, sorted; none of a shorter text."""
+    import xxhash
+
+    words = [w for w in (text or "").encode("utf-8", "surrogatepass").split(b" ") if w]
+    if len(words) < width:
+        return np.zeros(0, dtype=np.int64)
+    each = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
+    h = np.full(len(words) - width + 1, width, dtype=np.uint64)
+    for i in range(width):
+        h = (h ^ each[i : len(words) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h.view(np.int64))
+
+
+def briefs(texts: DataFrame, width: int) -> DataFrame:
+    """id, a digest (d, e) of a text's shingles, and their number and sketch, of each text (id, text) that has any."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            some = [x for x in sets if len(x)]
+            if not some:
+                continue
+            d = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in some), dtype="<i8").reshape(-1, 2)
+            k = np.concatenate([sketch(x, np.array([len(x)])) for x in some])
+            made = [pa.array(np.ascontiguousarray(c)) for c in (d[:, 0], d[:, 1], n[n > 0], *k.T)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(n > 0)), *made], names=["id", "d", "e", "n", *SKETCH])
+
+    return texts.mapInArrow(task, "id long, d long, e long, n long, " + ", ".join(f"{k} long" for k in SKETCH))
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(x: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(x, n * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
+
+
+def packs(ids: list, sets: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sets dealt to buckets by ranges of their elements: of each bucket the sorted elements' differences, and which of some ids (and of how many) has each."""
+    ids, ns = np.array(ids, dtype=np.int64), np.array([len(x) for x in sets], dtype=np.uint32)
+    h, doc = np.concatenate(sets).view(np.uint64), np.repeat(np.arange(len(sets), dtype=np.uint32), ns)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    rows = []
+    for bucket in np.flatnonzero(np.diff(cuts)):
+        mine, at = h[cuts[bucket] : cuts[bucket + 1]], doc[cuts[bucket] : cuts[bucket + 1]]
+        some, at = np.unique(at, return_inverse=True)
+        gaps = [np.diff(mine, prepend=np.uint64(0)), at.astype(np.uint32), np.diff(ids[some], prepend=0), ns[some]]
+        rows.append((int(bucket), len(mine), len(some), *map(squeezed, gaps)))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "k", "m", "h", "doc", "ids", "ns"])
+
+
+def held_by_several(rows: list) -> Iterator[pa.RecordBatch]:
+    """(id, n, h, w): a bucket's elements that w > 1 sets have."""
+    h, ids, ns = [], [], []
+    for r in rows:
+        at = unsqueezed(r["doc"], r["k"], np.uint32)
+        h.append(np.cumsum(unsqueezed(r["h"], r["k"], np.uint64), dtype=np.uint64))
+        ids.append(np.cumsum(unsqueezed(r["ids"], r["m"], np.int64))[at])
+        ns.append(unsqueezed(r["ns"], r["m"], np.uint32)[at])
+    h, ids, ns = map(np.concatenate, (h, ids, ns))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    w = np.diff(np.append(starts, len(h)))
+    w = np.repeat(w, w)
+    some = np.flatnonzero(w > 1)
+    for i in range(0, len(some), 100_000):
+        x = some[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[order[x]], ns[order[x]].astype(np.int64), h[x].view(np.int64), w[x].astype(np.int64))], names=["id", "n", "h", "w"])
+
+
+def common(texts: DataFrame, width: int, elements: int) -> DataFrame:
+    """(id, n, h, w): the shingles h that w > 1 of the texts (id, text) have, with each one's number n of all its shingles. Only packed buckets are shuffled."""
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), elements // BUCKET + 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, size = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingles(t, width)
+                if len(s):
+                    ids.append(i), sets.append(s)
+                    size += len(s)
+                if size >= PACKED:
+                    yield from packs(ids, sets, buckets)
+                    ids, sets, size = [], [], 0
+        if ids:
+            yield from packs(ids, sets, buckets)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        for _, mine in itertools.groupby(rows, lambda r: r["bucket"]):
+            yield from held_by_several(list(mine))
+
+    dealt = texts.mapInArrow(pack, PACKED_SCHEMA).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(unpack, "id long, n long, h long, w long")
+
+
+def released(df: DataFrame) -> None:
+    """Let the driver's collector find the shuffles that nothing reads any more, so that Spark removes their files."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def similar(texts: DataFrame, brief: DataFrame, width: int, t: float, keep: Keep) -> DataFrame:
+    """(u, v, jaccard), u < v, of all pairs of the texts (id, text) whose shingles reach Jaccard t; ``brief`` has their sketches (SKETCH_SCHEMA).
+
+    Elements of one set alone can't be common to two. So they come first in the order, which goes by how many sets hold an element, and only their number is kept: a set
+    with fewer than t n other elements is in no pair, and the overlap of two is that of what else they hold. Pairs are counted in rounds of half as many as there are sets.
+    """
+    count, elements = brief.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    need = F.ceil(F.col("n") * t - 1e-9)
+    lists = common(texts, width, elements).repartition("id").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("w", "h"))).alias("x"))
+    held = keep(lists.where(F.size("x") >= need).select("id", "n", F.col("x.h").alias("s")), "held")
+    released(held)
+    first = held.select("id", "n", F.size("s").alias("k"), F.posexplode(F.slice("s", F.lit(1), (F.size("s") - need + 1).cast("int"))).alias("i", "h"))
+    rows = matched(first.select("h", "id", "n", (F.col("n") - F.col("k") + F.col("i")).alias("p")), t, keep)
+    pairs = keep(candidates(rows.withColumn("part", F.col("id")), t), "candidates")
+    released(pairs)
+    rounds = 2 * pairs.count() // max(count, 20_000) + 1
+    found = []
+    for turn in range(rounds):
+        some = keep(possible(pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(rounds)) == turn), t, brief).select("u", "v"), "possible")
+        left = held.join(some.select(F.col("u").alias("id")).distinct(), "id").select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("s").alias("a"))
+        right = held.join(some.withColumnRenamed("v", "id"), "id").select("u", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("s").alias("b"))
+        both = right.join(left, "u").select("u", "v", F.size(F.array_intersect("a", "b")).alias("x"), (F.col("nu") + F.col("nv")).alias("n"))
+        found.append(keep(both.select("u", "v", (F.col("x") / (F.col("n") - F.col("x"))).alias("jaccard")).where(F.col("jaccard") >= t), "counted"))
+        del some, left, right, both
+        released(held)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def hubs(rows: DataFrame, t: float, turn: int) -> DataFrame:
